@@ -217,10 +217,10 @@ def _(t: Tables) -> DataFrame:
     return t.releases().groupBy("release_date").agg(F.count("*").alias("items"))
 
 
-_FREE_SHARE = """count(*) AS items, count_if(price = 0) AS free_items,
-        round(count_if(price = 0) / count(*) * 100, 2) AS free_percent,
-        CASE WHEN count_if(price = 0) = 0 THEN '0%'
-             ELSE CAST(round(count_if(price = 0) / count(*) * 100, 2) AS VARCHAR) || '%' END AS free_text"""
+_FREE_SHARE = """count(*) AS items, count(*) FILTER (price = 0) AS free_items,
+        round(count(*) FILTER (price = 0) / count(*) * 100, 2) AS free_percent,
+        CASE WHEN count(*) FILTER (price = 0) = 0 THEN '0%'
+             ELSE CAST(round(count(*) FILTER (price = 0) / count(*) * 100, 2) AS VARCHAR) || '%' END AS free_text"""
 
 
 @query("free_share_by_year", ctes("releases") + f"""
@@ -236,8 +236,8 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("recommend_share", ctes("reviews") + """
-    SELECT user_id, count(*) AS reviews, count_if(recommend) AS recommended,
-        round(count_if(recommend) / count(*) * 100, 2) AS recommend_percent
+    SELECT user_id, count(*) AS reviews, count(*) FILTER (recommend) AS recommended,
+        round(count(*) FILTER (recommend) / count(*) * 100, 2) AS recommend_percent
     FROM reviews GROUP BY user_id""")
 def _(t: Tables) -> DataFrame:
     return aggregates.recommend_share(t.reviews(), "user_id")

@@ -176,16 +176,16 @@ class Tables:
             .otherwise(F.concat(F.lower(F.col("o_orderstatus")), F.lit("-box games "))).alias("developer"),
         )
 
-    def spoken(self, table: str, key: str) -> DataFrame:
+    def spoken(self, table: str, *keys: str) -> DataFrame:
         """Texts of a table with some frequent words turned into modifiers."""
         text = F.col("text")
         for old, new in SPOKEN_WORDS:
             text = F.replace(text, F.lit(f" {old} "), F.lit(f" {new} "))
-        return self.read(table).select(key, text.alias("text"))
+        return self.read(table).select(*keys, text.alias("text"))
 
     def lexicon(self) -> DataFrame:
-        rows = " union all ".join(f"select '{w}' token, {v}D valence" for w, v in LEXICON)
-        return self.spark.sql(rows)
+        rows = ", ".join(f"('{w}', {v}D)" for w, v in LEXICON)
+        return self.spark.sql(f"SELECT * FROM VALUES {rows} AS l(token, valence)")
 
 
 # Frequent words of the texts, turned into words the scoring rules react to.
@@ -281,6 +281,5 @@ SQL: dict[str, tuple[list[str], str]] = {
     "lexicon": ([], "SELECT * FROM (VALUES " + ", ".join(
         f"('{w}', CAST({v} AS DOUBLE))" for w, v in LEXICON) + ") AS l(token, valence)"),
     "spoken_documents": ([], spoken_sql("documents", "doc_id")),
-    "spoken_conversations": ([], "SELECT conv_id, turn, text FROM (" + spoken_sql(
-        "conversations", "conv_id, turn") + ")"),
+    "spoken_conversations": ([], spoken_sql("conversations", "conv_id, turn")),
 }

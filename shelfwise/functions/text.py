@@ -7,32 +7,35 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CASED = r"\p{Lu}\p{Ll}\p{Lt}"
-_RUNS = rf"([{_CASED}]+|[^{_CASED}]+)"
-_SPACE = r"(?U)[\s\x1c-\x1f]+"
+_CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
+_WORD_START = rf"(?<=[^{_CASED}])(?=[{_CASED}])"
+# No character of any text, so the mark can be taken out again.
+_MARK = "\ufdd0 "
+SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
 def capitalize(c: Column) -> Column:
     """First character upper case, the rest lower case."""
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
+    return F.concat(F.initcap(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
 def title_case(c: Column) -> Column:
     """Upper-case the first letter of every run of letters, lower-case the others.
 
-    Unlike ``initcap`` a new word also starts after a digit, an apostrophe or a hyphen.
+    ``initcap`` starts a word after a blank only; marks with a blank make it start one after a
+    digit, an apostrophe or a hyphen as well.
     """
-    runs = F.regexp_extract_all(c, F.lit(_RUNS), F.lit(1))
-    return F.array_join(F.transform(runs, capitalize), "")
+    marked = F.regexp_replace(c, _WORD_START, _MARK)
+    return F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
 
 
 def trim_right(c: Column) -> Column:
     """Remove trailing white space of any kind (``rtrim`` removes blanks only)."""
-    return F.regexp_replace(c, _SPACE + "$", "")
+    return F.regexp_replace(c, SPACE + "$", "")
 
 
 def trim_left(c: Column) -> Column:
-    return F.regexp_replace(c, "^" + _SPACE, "")
+    return F.regexp_replace(c, "^" + SPACE, "")
 
 
 def split_part(c: Column, separator: str, index: int) -> Column:
@@ -42,7 +45,7 @@ def split_part(c: Column, separator: str, index: int) -> Column:
 
 def words(c: Column) -> Column:
     """The non-blank words of a text."""
-    return F.filter(F.split(c, _SPACE), lambda w: w != "")
+    return F.filter(F.split(c, SPACE), lambda w: w != "")
 
 
 def word_count(c: Column) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.text import round_half_even, words
+from shelfwise.functions.text import SPACE, round_half_even
 
 # The published word lists and constants of the rule set.
 NEGATORS = [
@@ -48,7 +48,7 @@ QUESTION = 0.18
 QUESTION_MAX = 0.96
 ALPHA = 15.0
 
-_EDGE_PUNCTUATION = r"^\p{Punct}+|\p{Punct}+$"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _KEEP = "_keep"
 
 
@@ -56,14 +56,14 @@ def tokens(text: Column) -> Column:
     """Words without punctuation at their ends; marks that are no word (``:)``) stay whole."""
 
     def clean(word: Column) -> Column:
-        bare = F.regexp_replace(word, _EDGE_PUNCTUATION, "")
+        bare = F.btrim(word, F.lit(PUNCTUATION))
         return F.when(F.length(bare) > 1, bare).otherwise(word)
 
-    return F.filter(F.transform(words(text), clean), lambda w: F.length(w) > 1)
+    return F.filter(F.transform(F.split(text, SPACE), clean), lambda w: F.length(w) > 1)
 
 
-def _is_upper(word: Column) -> Column:
-    return (F.upper(word) == word) & (F.lower(word) != word)
+def _in_capitals(word: Column) -> Column:
+    return (F.lower(word) != word) & (F.upper(word) == word)
 
 
 def _occurrences(text: Column, mark: str) -> Column:
@@ -130,53 +130,56 @@ def score_texts(df: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
         _emphasis(F.col(text)).alias("emphasis"),
         tokens(F.col(text)).alias("tokens"),
     )
-    lowered = source.select(
+    shaped = source.select(
         _KEEP, "emphasis", "tokens",
         F.transform("tokens", F.lower).alias("lower"),
-        F.transform("tokens", _is_upper).alias("upper"),
-    )
-    shaped = lowered.select(
-        _KEEP, "emphasis", "lower",
         # Capitals stand out only where some words are not written in capitals.
-        F.when(F.array_contains("upper", F.lit(False)), F.col("upper")).alias("upper"),
+        F.exists("tokens", lambda w: ~_in_capitals(w)).alias("mixed"),
+    )
+    none = F.lit(None).cast("string")
+    shifted = [F.concat(F.array(*[none] * n), "tokens").alias(f"w{n}") for n in range(1, 4)]
+    # Zipping the tokens with shifted copies of themselves puts each beside those before it. The
+    # place of the first "but" is found here, once per text and not once per token below.
+    placed = shaped.select(
+        _KEEP, "emphasis", "mixed", F.col("lower").alias("token"), F.col("tokens").alias("w0"),
+        *shifted, F.slice("lower", 2, F.array_size("lower")).alias("next"),
         F.nullif(F.array_position("lower", F.lit("but")), F.lit(0)).alias("but"),
     )
-
-    def context(token: Column, i: Column) -> Column:
-        def at(column: str, offset: int) -> Column:
-            return F.get(F.col(column), i + offset)
-
-        return F.struct(
-            i.alias("pos"), token.alias("token"), at("upper", 0).alias("u0"),
-            at("lower", -1).alias("w1"), at("lower", -2).alias("w2"), at("lower", -3).alias("w3"),
-            at("upper", -1).alias("u1"), at("upper", -2).alias("u2"), at("upper", -3).alias("u3"),
-            at("lower", 1).alias("next"),
-        )
-
-    around = shaped.select(
-        _KEEP, "emphasis", "but", F.explode_outer(F.transform("lower", context)).alias("t")
-    ).select(_KEEP, "emphasis", "but", "t.*")
-
-    before = [F.col("w1"), F.col("w2"), F.col("w3")]
-    valence = F.col("valence")
-    step = F.when(F.col("u0"), valence + F.signum(valence) * CAPITALS).otherwise(valence)
+    around = placed.select(
+        _KEEP, "emphasis", "mixed", "but",
+        F.posexplode_outer(F.arrays_zip("token", "next", "w0", "w1", "w2", "w3")).alias("pos", "t"),
+    ).select(_KEEP, "emphasis", "mixed", "but", "pos", "t.*")
+
+    # Only words of the lexicon count; the first token stays too, so that no text is lost.
+    place = F.coalesce(F.col("pos"), F.lit(0))
+    hits = around.join(valences, "token", "left").filter(F.col("valence").isNotNull() | (place == 0))
+
+    hits = hits.select(
+        "*", *[F.lower(f"w{n}").alias(f"l{n}") for n in range(1, 4)],
+        *[(F.col("mixed") & _in_capitals(F.col(f"w{n}"))).alias(f"u{n}") for n in range(4)],
+    )
+    before = [F.col("l1"), F.col("l2"), F.col("l3")]
+    step = F.col("step")
+    loud_word = F.col("valence") + F.signum("valence") * CAPITALS
+    stepped = hits.withColumn("step", F.when(F.col("u0"), loud_word).otherwise(F.col("valence")))
     for distance in range(3):
-        boost = _boost(before[distance], F.col(f"u{distance + 1}"), skip)
-        boost = boost * DISTANCE_DAMPING[distance]
-        step = (step + F.signum(step) * boost) * _turn(distance, before, skip)
+        boost = _boost(before[distance], F.col(f"u{distance + 1}"), skip) * DISTANCE_DAMPING[distance]
+        turn = _turn(distance, before, skip)
+        stepped = stepped.withColumn("step", (step + F.signum(step) * boost) * turn)
     if "least" not in skip:
-        least = (F.col("w1") == "least") & ~F.coalesce(F.col("w2").isin("at", "very"), F.lit(False))
-        step = F.when(least, step * NEGATION).otherwise(step)
+        least = (F.col("l1") == "least") & ~F.coalesce(F.col("l2").isin("at", "very"), F.lit(False))
+        stepped = stepped.withColumn("step", F.when(least, step * NEGATION).otherwise(step))
     # Words that only modify others carry no valence; a first "but" moves the weight behind it.
-    no_word = F.col("token").isin([*INTENSIFIERS, *DAMPENERS]) | (
+    modifier = F.col("token").isin([*INTENSIFIERS, *DAMPENERS]) | (
         (F.col("token") == "kind") & F.coalesce(F.col("next") == "of", F.lit(False))
     )
-    place = F.col("pos") + 1
-    weight = F.when(place < F.col("but"), 0.5).when(place > F.col("but"), 1.5).otherwise(F.lit(1.0))
-    scored = around.join(valences, "token", "left").select(
-        _KEEP, "emphasis", "pos",
-        F.when(valence.isNull() | no_word, F.lit(0.0)).otherwise(step * weight).alias("part"),
+    weight = (
+        F.when(F.col("pos") + 1 < F.col("but"), 0.5)
+        .when(F.col("pos") + 1 > F.col("but"), 1.5)
+        .otherwise(F.lit(1.0))
     )
+    part = F.when(step.isNull() | modifier, F.lit(0.0)).otherwise(step * weight)
+    scored = stepped.select(_KEEP, "emphasis", "pos", part.alias("part"))
 
     summed = scored.groupBy(_KEEP).agg(
         F.max("emphasis").alias("emphasis"),
