@@ -71,7 +71,7 @@ def _literal_lines(t: Tables) -> DataFrame:
         F.lit("', 'recommend': "), flag, F.lit(", 'review': "), _literal_text(plain), F.lit("}]}"),
     )
     broken = F.when(F.col("doc_id") % 50 == 7, F.substring(line, 1, 60)).otherwise(line)
-    return t.read("documents").select(broken.alias("value"))
+    return t.texts("documents").select(broken.alias("value"))
 
 
 @query("parse_literal_lines", """

@@ -27,13 +27,13 @@ def words_sql(text: str) -> str:
         lambda w: CASE WHEN w[1] = 'ß' THEN 'Ss' ELSE upper(w[1]) END || lower(substr(w, 2))), '') AS text
     FROM documents""")
 def _(t: Tables) -> DataFrame:
-    return t.read("documents").select("doc_id", fn.title_case(F.col("text")).alias("text"))
+    return t.texts("documents").select("doc_id", fn.title_case(F.col("text")).alias("text"))
 
 
 @query("capitalize", """
     SELECT doc_id, CASE WHEN text[1] = 'ß' THEN 'Ss' ELSE upper(text[1]) END || lower(substr(text, 2)) AS text FROM documents""")
 def _(t: Tables) -> DataFrame:
-    return t.read("documents").select("doc_id", fn.capitalize(F.col("text")).alias("text"))
+    return t.texts("documents").select("doc_id", fn.capitalize(F.col("text")).alias("text"))
 
 
 @query("trim_whitespace", f"""
@@ -42,14 +42,14 @@ def _(t: Tables) -> DataFrame:
     FROM (SELECT doc_id, chr(9) || ' ' || text || ' ' || chr(9) AS padded FROM documents)""")
 def _(t: Tables) -> DataFrame:
     padded = F.concat(F.lit("\t "), F.col("text"), F.lit(" \t"))
-    return t.read("documents").select(
+    return t.texts("documents").select(
         "doc_id", fn.trim_right(padded).alias("rstripped"), fn.trim_left(padded).alias("lstripped")
     )
 
 
 @query("lower_case", "SELECT doc_id, lower(text) AS text FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.read("documents").select("doc_id", F.lower("text").alias("text"))
+    return t.texts("documents").select("doc_id", F.lower("text").alias("text"))
 
 
 @query("replace_literal", r"""
@@ -77,7 +77,7 @@ def _(t: Tables) -> DataFrame:
 @query("word_count", f"""
     SELECT doc_id, len({words_sql('text')}) AS n_words FROM documents""")
 def _(t: Tables) -> DataFrame:
-    return t.read("documents").select("doc_id", fn.word_count(F.col("text")).alias("n_words"))
+    return t.texts("documents").select("doc_id", fn.word_count(F.col("text")).alias("n_words"))
 
 
 YEAR_SQL = """CASE o_orderkey % 9 WHEN 0 THEN year(o_orderdate) WHEN 1 THEN year(o_orderdate)
@@ -153,7 +153,7 @@ def _(t: Tables) -> DataFrame:
     first = F.struct(F.col("source").alias("review"), F.lit(1).alias("part"))
     second = F.struct(F.col("lang").alias("review"), F.lit(2).alias("part"))
     k = F.col("doc_id") % 5
-    listed = t.read("documents").select(
+    listed = t.texts("documents").select(
         "doc_id",
         F.when(k == 0, F.slice(F.array(first), 1, 0)).when(k == 1, F.array(first))
         .otherwise(F.array(first, second)).alias("reviews"),

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.sources import spread_few_files
+
 FIRST_YEAR = 1995
 
 
@@ -21,6 +23,10 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A table of texts, spread over the cores if it lies in few files."""
+        return spread_few_files(self.read(name))
+
     def catalog(self) -> DataFrame:
         """One item per part; the words of its name and its type are its genres."""
         genres = F.concat(F.split("p_name", " "), F.array("p_type"))
@@ -82,16 +88,24 @@ class Tables:
         )
 
     def libraries(self) -> DataFrame:
-        """One record per user and order, of at most eight lines."""
+        """One record per order, of at most eight lines, for the user who placed it."""
+        part = self.read("part").select("p_partkey", F.col("p_name").alias("item_name"))
+        lines = self.read("lineitem")
         item = F.struct(
-            "item_id", "item_name", "playtime_forever",
-            F.lit(0).cast("bigint").alias("playtime_2weeks"), F.col("l_linenumber").alias("line"),
+            F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("item_id"), "item_name",
+            F.col("l_quantity").cast("bigint").alias("playtime_forever"),
+            F.lit(0).cast("bigint").alias("playtime_2weeks"),
         )
         part_of_order = F.floor(F.col("l_linenumber") / 8).alias("part_of_order")
-        records = self.plays().groupBy("user_id", "l_orderkey", part_of_order).agg(
-            F.array_sort(F.collect_list(item)).alias("items")
+        records = (
+            lines.join(part, lines.l_partkey == part.p_partkey)
+            .groupBy("l_orderkey", part_of_order)
+            .agg(F.array_sort(F.collect_list(item)).alias("items"))
+        )
+        orders = self.read("orders").select(
+            "o_orderkey", F.col("o_custkey").cast("string").alias("user_id")
         )
-        return records.select(
+        return records.join(orders, records.l_orderkey == orders.o_orderkey).select(
             "user_id",
             F.size("items").cast("bigint").alias("items_count"),
             F.transform("items", lambda i: i.dropFields("line")).alias("items"),
@@ -181,7 +195,7 @@ class Tables:
         text = F.col("text")
         for old, new in SPOKEN_WORDS:
             text = F.replace(text, F.lit(f" {old} "), F.lit(f" {new} "))
-        return self.read(table).select(*keys, text.alias("text"))
+        return self.texts(table).select(*keys, text.alias("text"))
 
     def lexicon(self) -> DataFrame:
         rows = ", ".join(f"('{w}', {v}D)" for w, v in LEXICON)

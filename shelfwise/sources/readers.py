@@ -40,6 +40,15 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread_few_files(table: DataFrame) -> DataFrame:
+    """Spread a table stored in fewer files than there are cores; leave any other as it is.
+
+    For work that costs far more per row than a shuffle does, such as scoring texts.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.hint("rebalance") if len(table.inputFiles()) < cores else table
+
+
 def scan_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """Sentiment lexicon: tab-separated token and mean valence, further columns ignored."""
     fields = F.split("value", "\t")
