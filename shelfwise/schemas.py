@@ -2,43 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructType,
+)
+
+_STRINGS = ArrayType(StringType())
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+def _table(**columns: DataType) -> StructType:
+    schema = StructType()
+    for name, data_type in columns.items():
+        schema = schema.add(name, data_type)
+    return schema
 
 
-CATALOG_RAW = _schema(
-    "publisher string, url string, app_name string, tags array<string>, reviews_url string, "
-    "specs array<string>, early_access boolean, genres array<string>, title string, "
-    "release_date string, price string, id string, developer string"
+CATALOG_RAW = _table(
+    publisher=StringType(), url=StringType(), app_name=StringType(), tags=_STRINGS,
+    reviews_url=StringType(), specs=_STRINGS, early_access=BooleanType(), genres=_STRINGS,
+    title=StringType(), release_date=StringType(), price=StringType(), id=StringType(),
+    developer=StringType(),
 )
 
-REVIEWS_RAW = _schema(
-    "user_id string, reviews array<struct<funny: string, posted: string, last_edited: string, "
-    "item_id: string, helpful: string, recommend: boolean, review: string>>"
+REVIEWS_RAW = _table(
+    user_id=StringType(),
+    reviews=ArrayType(_table(
+        funny=StringType(), posted=StringType(), last_edited=StringType(), item_id=StringType(),
+        helpful=StringType(), recommend=BooleanType(), review=StringType(),
+    )),
 )
 
-LIBRARIES_RAW = _schema(
-    "user_id string, items_count bigint, steam_id string, user_url string, "
-    "items array<struct<item_id: string, item_name: string, playtime_forever: bigint, "
-    "playtime_2weeks: bigint>>"
+LIBRARIES_RAW = _table(
+    user_id=StringType(), items_count=LongType(), steam_id=StringType(), user_url=StringType(),
+    items=ArrayType(_table(
+        item_id=StringType(), item_name=StringType(), playtime_forever=LongType(),
+        playtime_2weeks=LongType(),
+    )),
 )
 
-CATALOG = _schema(
-    "id bigint, title string, developer string, genres array<string>, price double, "
-    "release_date int"
+CATALOG = _table(
+    id=LongType(), title=StringType(), developer=StringType(), genres=_STRINGS,
+    price=DoubleType(), release_date=IntegerType(),
 )
 
-REVIEWS = _schema("user_id string, item_id bigint, recommend boolean, sentiment_analysis int")
+REVIEWS = _table(
+    user_id=StringType(), item_id=LongType(), recommend=BooleanType(),
+    sentiment_analysis=IntegerType(),
+)
 
-LIBRARIES = _schema(
-    "user_id string, items_count bigint, items array<struct<item_id: bigint, item_name: string, "
-    "playtime_forever: bigint, playtime_2weeks: bigint>>"
+LIBRARIES = _table(
+    user_id=StringType(), items_count=LongType(),
+    items=ArrayType(_table(
+        item_id=LongType(), item_name=StringType(), playtime_forever=LongType(),
+        playtime_2weeks=LongType(),
+    )),
 )
 
 # The library table as CSV carries its nested column as JSON text.
-LIBRARIES_CSV = _schema("user_id string, items_count bigint, items string")
+LIBRARIES_CSV = _table(user_id=StringType(), items_count=LongType(), items=StringType())
 
-LEXICON = _schema("token string, valence double")
+LEXICON = _table(token=StringType(), valence=DoubleType())
