@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import percent_text
 
 MONEY = "decimal(18,2)"
+# Half the width of the bands around a wanted quantile, as a share of all values.
+BAND = 0.002
 
 
 def money_sum(c: Column | str) -> Column:
@@ -72,8 +74,8 @@ def count_by_element(df: DataFrame, column: str, alias: str, count: str = "n") -
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """(bin, lower, upper, n) of ``bins`` equal-width bins, empty ones included.
 
-    The largest value belongs to the last bin. Equal values are counted together before the
-    bounds come into play, so the input is scanned once for the counts and once for the bounds.
+    The largest value belongs to the last bin. The bounds are two scalars found in a pass of their
+    own, so that the counting pass needs no join.
     """
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
     spread = F.when(F.min("v") == F.max("v"), F.lit(0.5)).otherwise(F.lit(0.0))
@@ -94,25 +96,62 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     )
 
 
+def _exact_quantiles(df: DataFrame, counted: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """One row ``q``: the interpolated quantiles of ``df.v``; ``counted`` holds each value's count.
+
+    A sketch of the values gives narrow bands around the wanted ranks. The exact counts of the bands
+    and of what lies between them tell where each rank is; only the values there are put in order.
+    A sketch that is off makes a band larger, not the result wrong.
+    """
+    around = [share + side * BAND for share in shares for side in (-1, 1)]
+    seen = df.agg(F.struct(
+        F.percentile_approx("v", around, 10000).alias("edges"), (F.count("v") - 1).alias("last")
+    )).scalar()
+    band = sum((F.col("v") >= F.col("seen.edges")[i]).cast("int") for i in range(len(around)))
+    banded = counted.select("v", "n", seen.alias("seen")).select(
+        "v", "n", band.alias("band"), F.col("seen.last").alias("last")
+    )
+    totals = banded.groupBy("band").agg(F.sum("n").alias("size"), F.max("last").alias("last"))
+    # One row per band.
+    placed = totals.withColumn("before", F.sum("size").over(Window.orderBy("band")) - F.col("size"))
+    ranks = F.array(*[
+        F.struct(F.lit(2 * i + side).alias("slot"), rounded(share * F.col("last")).alias("rank"))
+        for i, share in enumerate(shares) for side, rounded in enumerate((F.floor, F.ceil))
+    ])
+    wanted = (
+        placed.select("band", "before", "size", F.explode(ranks).alias("r"))
+        .filter((F.col("r.rank") >= F.col("before")) & (F.col("r.rank") < F.col("before") + F.col("size")))
+        .select("band", "r.slot", (F.col("r.rank") - F.col("before")).alias("rank"))
+    )
+    upto = F.sum("n").over(Window.partitionBy("slot").orderBy("v"))
+    found = (
+        banded.join(F.broadcast(wanted), "band")  # two rows per share
+        .withColumn("upto", upto)
+        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    )
+    at = [F.max(F.when(F.col("slot") == i, F.col("v"))) for i in range(2 * len(shares))]
+    place = [share * F.max("last") for share in shares]
+    return found.agg(F.array(*[
+        at[2 * i] + (at[2 * i + 1] - at[2 * i]) * (place[i] - F.floor(place[i])) for i in range(len(shares))
+    ]).alias("q"))
+
+
 def box_stats(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     """One row of box-plot figures: quartiles, whiskers, number of values beyond them.
 
-    Equal values are counted together first; the exact quartiles then hold one entry per distinct
-    value. For a column of mostly distinct values take the approximate quartiles.
+    Equal values are counted together first. ``approximate`` takes the quartiles from a sketch, which
+    spares the passes that find the exact ones.
     """
-    counted = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("v"))
-        .agg(F.count("*").alias("n"))
-    )
+    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    counted = values.groupBy("v").agg(F.count("*").alias("n"))
+    shares = [0.25, 0.5, 0.75]
     if approximate:
-        quartiles = df.agg(
-            F.percentile_approx(F.col(column).cast("double"), [0.25, 0.5, 0.75], 10000)
-        )
+        quartiles = values.agg(F.percentile_approx("v", shares, 10000))
     else:
-        quartiles = counted.agg(F.percentile("v", [0.25, 0.5, 0.75], F.col("n")))
-    q = quartiles.scalar()
-    boxed = counted.select("v", "n", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"))
+        quartiles = _exact_quantiles(values, counted, shares)
+    boxed = counted.select("v", "n", quartiles.scalar().alias("q")).select(
+        "v", "n", *[F.col("q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))]
+    )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
     return boxed.agg(

@@ -31,8 +31,11 @@ def library_items(libraries: DataFrame) -> DataFrame:
 
 
 def join_left_dedup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join, then drop rows that are equal in every column."""
-    return left.join(right.distinct(), key, "left").distinct()
+    """Left join without rows that are equal in every column.
+
+    Copies are dropped on both sides before the join; distinct rows cannot join to equal ones.
+    """
+    return left.distinct().join(right.distinct(), key, "left")
 
 
 def anti_join_owned(candidates: DataFrame, owned: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -16,6 +16,18 @@ def test_box_stats_interpolate(spark):
     assert (box.whisker_low, box.whisker_high, box.outliers, box.n) == (1, 3, 1, 4)
 
 
+@pytest.mark.parametrize("numbers", [[5], [5, 5], [1, 2], list(range(101)), [0.01] * 50 + [1e6], [-1.5, 0, 3, 3, 8]])
+def test_exact_quartiles_are_those_of_numpy(spark, numbers):
+    box = aggregates.box_stats(values(spark, numbers), "v").first()
+    assert np.allclose([box.q1, box.median, box.q3], np.percentile(numbers, [25, 50, 75]))
+
+
+def test_quartiles_of_many_values(spark):
+    numbers = np.random.default_rng(1).lognormal(3, 2, 5000).round(2)
+    box = aggregates.box_stats(values(spark, numbers), "v").first()
+    assert np.allclose([box.q1, box.median, box.q3], np.percentile(numbers, [25, 50, 75]))
+
+
 def test_box_stats_weigh_repeated_values(spark):
     numbers = [1.0] * 5 + [2.0] * 7 + [9.0] * 2
     box = aggregates.box_stats(values(spark, numbers), "v").first()
