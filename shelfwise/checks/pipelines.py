@@ -22,7 +22,7 @@ def _(t: Tables) -> DataFrame:
     path = sources.scratch_path(t.spark, "events-json")
     events = t.read("events").select("event_id", "user_id", "event_type", "value")
     sources.write_json_gz(events, path)
-    return sources.scan_json_lines(t.spark, path, events.schema, partitions=8)
+    return sources.scan_json_lines(t.spark, path, events.schema)
 
 
 @query("scan_clean_table", ctes("catalog") + """

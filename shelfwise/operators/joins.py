@@ -40,7 +40,7 @@ def join_left_dedup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def anti_join_owned(candidates: DataFrame, owned: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Candidates without those already owned."""
-    return candidates.join(owned.select(*keys), list(keys), "left_anti")
+    return candidates.join(owned.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def lookup_exists(asked: DataFrame, table: DataFrame, key: str) -> DataFrame:

@@ -16,16 +16,21 @@ _LITERAL_TOKENS = (
 _HEX_ESCAPE = r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})"
 
 
-def scan_json_lines(
-    spark: SparkSession, path: str, schema: T.StructType, partitions: int | None = None
-) -> DataFrame:
+def spread_few_files(table: DataFrame) -> DataFrame:
+    """Spread a table stored in fewer files than there are cores; leave any other as it is.
+
+    For work that costs far more per row than a shuffle does, such as scoring texts.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.hint("rebalance") if len(table.inputFiles()) < cores else table
+
+
+def scan_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON Lines, gzip or plain (told by the suffix).
 
-    One gzip file is read by one task whatever its size; ``partitions`` spreads the rows of a feed
-    that arrives as few large files. Feeds of many files need no such shuffle.
+    One gzip file is read by one task whatever its size, so the rows of few files are spread.
     """
-    df = spark.read.schema(schema).json(path)
-    return df.repartition(partitions) if partitions else df
+    return spread_few_files(spark.read.schema(schema).json(path))
 
 
 def scan_csv_gz(
@@ -40,15 +45,6 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread_few_files(table: DataFrame) -> DataFrame:
-    """Spread a table stored in fewer files than there are cores; leave any other as it is.
-
-    For work that costs far more per row than a shuffle does, such as scoring texts.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.hint("rebalance") if len(table.inputFiles()) < cores else table
-
-
 def scan_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """Sentiment lexicon: tab-separated token and mean valence, further columns ignored."""
     fields = F.split("value", "\t")

@@ -60,7 +60,7 @@ def test_csv_round_trip_with_nested_column(spark):
 
 def test_json_and_parquet_round_trip(spark):
     for write, read in (
-        (sources.write_json_gz, lambda p: sources.scan_json_lines(spark, p, schemas.LIBRARIES, 3)),
+        (sources.write_json_gz, lambda p: sources.scan_json_lines(spark, p, schemas.LIBRARIES)),
         (sources.write_parquet, lambda p: sources.scan_parquet(spark, p)),
     ):
         path = sources.scratch_path(spark, "table")
@@ -84,3 +84,14 @@ def test_lexicon(spark, tmp_path):
 
 def test_scratch_lies_below_the_shared_folder(spark):
     assert sources.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_only_few_files_are_spread(spark, capsys):
+    few, many = sources.scratch_path(spark, "few"), sources.scratch_path(spark, "many")
+    spark.range(100).coalesce(1).write.json(few)
+    spark.range(100).repartition(20).write.json(many)
+    schema = spark.range(1).schema
+    sources.scan_json_lines(spark, few, schema).explain()
+    assert "REBALANCE" in capsys.readouterr().out
+    sources.scan_json_lines(spark, many, schema).explain()
+    assert "Exchange" not in capsys.readouterr().out
