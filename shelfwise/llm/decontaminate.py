@@ -2,32 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.words import NON_WORD, ascii_lower, row_key, split_words
+from shelfwise.llm.words import ascii_lower, row_key, split_alphanumeric, window_hashes
 
 WINDOW = 10
 #: Different benchmark windows that are broadcast at most; beyond it the join is shuffled.
 BROADCAST_WINDOWS = 1_000_000
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``gram`` (words joined by a blank), ``length``, ``hash`` and ``items`` of every window."""
-    words = benchmark.select(
-        F.col("item_id"), split_words(ascii_lower(F.col("text")), NON_WORD).alias("words")
-    ).filter(F.size("words") > 0)
-    length = F.least(F.size("words"), F.lit(window))
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size("words") - length + 1), lambda i: F.slice("words", i, length)
+def _gram(words: str, at: Column, length: int) -> Column:
+    return F.array_join(F.slice(words, at, length), " ")
+
+
+def benchmark_windows(benchmark: DataFrame, length: int, whole: bool) -> DataFrame:
+    """``gram`` (words joined by a blank), ``hash`` and ``items`` of every window of ``length`` words.
+
+    ``whole``: of texts that have just as many words.
+    """
+    words = benchmark.select("item_id", split_alphanumeric(ascii_lower(F.col("text"))).alias("words"))
+    size = F.size("words")
+    windows = words.filter(size == length if whole else size >= length).select(
+        "item_id", "words", F.posexplode_outer(window_hashes("words", length)).alias("at", "hash")
     )
     return (
-        words.select("item_id", length.alias("length"), F.explode_outer(grams).alias("gram"))
-        .groupBy("length", F.array_join("gram", " ").alias("gram"), F.xxhash64("gram").alias("hash"))
+        windows.groupBy(_gram("words", F.col("at") + 1, length).alias("gram"), "hash")
         .agg(F.collect_set("item_id").alias("items"))
     )
 
 
+def _hits(read: DataFrame, benchmark: DataFrame, length: int, whole: bool, limit: int) -> DataFrame:
+    """``key``, place, length and items of every window of ``length`` words that the texts share."""
+    windows = benchmark_windows(benchmark, length, whole)
+    # Outer, though texts without windows are not wanted: an inner one is filtered by its windows first,
+    # for which the optimizer would write out, and evaluate, all that makes them once more.
+    if windows.count() <= limit:
+        probes = read.select("key", "words", window_hashes("words", length).alias("hashes"))
+        hits = (
+            probes.select("key", "words", F.posexplode_outer("hashes").alias("at", "hash"))
+            .join(F.broadcast(windows), "hash")
+            .filter(_gram("words", F.col("at") + 1, length) == F.col("gram"))
+        )
+    else:
+        starts = F.when(F.size("words") >= length, F.sequence(F.lit(1), F.size("words") - length + 1))
+        grams = read.select("key", F.transform(starts, lambda i: _gram("words", i, length)).alias("grams"))
+        hits = grams.select("key", F.posexplode_outer("grams").alias("at", "gram")).join(windows, "gram")
+    return hits.select("key", (F.col("at") + 1).alias("at"), F.lit(length).alias("size"), "items")
+
+
 def find_contamination(
     documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     broadcast_windows: int = BROADCAST_WINDOWS,
@@ -43,40 +68,17 @@ def find_contamination(
     windows are probed and each hit is verified by its words. Beyond that the windows' words are the
     key of a shuffled join. Texts never leave their task; only hits are shuffled.
     """
-    windows = benchmark_windows(benchmark, window)
-    found = windows.groupBy("length").count().collect()  # at most one row for each length
+    sizes = F.least(F.size(split_alphanumeric(ascii_lower(F.col("text")))), F.lit(window))
+    # At most one row for each length.
+    lengths = {r["length"] for r in benchmark.select(sizes.alias("length")).distinct().collect()} - {0}
     read = documents.select(
         F.struct("*").alias("row"),
         row_key(F.col("doc_id"), F.col("text")).alias("key"),
-        split_words(ascii_lower(F.col("text")), NON_WORD).alias("words"),
+        split_alphanumeric(ascii_lower(F.col("text"))).alias("words"),
     )
     texts = read.select("row", "key", F.size("words").cast("long").alias("n_words"))
-    lengths = sorted(r["length"] for r in found) or [window]
-    small = sum(r["count"] for r in found) <= broadcast_windows
-
-    def places(length: int):
-        def one(i):
-            gram = F.slice("words", i, length)
-            probe = F.xxhash64(gram) if small else F.array_join(gram, " ")
-            return F.struct(probe.alias("probe"), i.alias("at"), F.lit(length).alias("size"))
-
-        fits = F.size("words") >= length
-        starts = F.when(fits, F.sequence(F.lit(1), F.size("words") - length + 1))
-        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), one)
-
-    # Outer, though texts without places are not wanted: an inner one is filtered by its places first,
-    # for which the optimizer would write out, and evaluate, all that makes them once more.
-    scanned = read.select("key", "words", F.flatten(F.array(*map(places, lengths))).alias("places"))
-    if small:
-        hits = (
-            scanned.select("key", "words", F.inline_outer("places"))
-            .join(F.broadcast(windows), (F.col("probe") == F.col("hash")) & (F.col("size") == F.col("length")))
-            .filter(F.array_join(F.slice("words", F.col("at"), F.col("size")), " ") == F.col("gram"))
-        )
-    else:
-        hits = scanned.select("key", F.inline_outer("places")).join(
-            windows, (F.col("probe") == F.col("gram")) & (F.col("size") == F.col("length"))
-        )
+    hits = [_hits(read, benchmark, n, n < window, broadcast_windows) for n in sorted(lengths or {window})]
+    hits = reduce(DataFrame.union, hits)
     hits = hits.groupBy("key").agg(
         F.collect_set(F.struct("at", "size")).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
@@ -118,7 +120,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     Texts without a hit, NULL ones too, stay as they are.
     """
     _, hits = find_contamination(documents, benchmark, window)
-    words = split_words(ascii_lower(F.col("text")), NON_WORD)
+    words = split_alphanumeric(ascii_lower(F.col("text")))
     rows = documents.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
     covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1)))
     left = rows.join(hits.select("key", F.array_distinct(covered).alias("gone")), "key", "left")

@@ -8,15 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.words import split_words
-
-SYMBOLS = "#*$%&|<>"
-
-
-def _count(pattern: str) -> Column:
-    """Characters of ``body`` in runs that fit the pattern."""
-    return (F.char_length("body") - F.char_length(F.regexp_replace("body", pattern, ""))).cast("long")
-
+from shelfwise.llm.words import split_words, window_hashes
 
 def _repeated_words(ordered: str) -> Column:
     """Words in a window of three that is found twice: their windows lie side by side once sorted.
@@ -39,43 +31,38 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
 
     ``n_words``; ``word_chars`` (code points in words); ``n_symbols`` (characters of ``#*$%&|<>``);
     ``n_lines`` (lines with a word); ``n_dup_lines`` (those equal to an earlier line);
-    ``n_repeat_words`` (words in three-word windows found twice or more in the text); ``n_upper``
-    (A-Z); ``n_lower`` (a-z); ``n_marks`` (``!``); ``n_stops`` (words that end a sentence); ``n_short`` (words that
-    are one such symbol); ``base_failed`` (fewer than 50 words, or more than half of them
-    repeated). A NULL or empty text has zeros. Windows are compared by 64-bit hashes, within a text only.
+    ``n_repeat_words`` (words in three-word windows found twice or more in the text);
+    ``n_symbol_runs`` (runs of two symbols or more); ``n_bare_symbols`` (symbols between blanks);
+    ``n_capitals`` (runs of two or more of A-Z); ``n_marks`` (``!``); ``n_stops`` (words that end a sentence);
+    ``base_failed`` (fewer than 50 words, or more than half of them repeated). A NULL or empty text has
+    zeros. Windows are compared by 64-bit hashes, within a text only.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     cut = documents.select(
         F.struct("*").alias("row"), body.alias("body"), split_words(body).alias("words"),
         F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
-    hashed = cut.select(
-        "*", F.transform(
-            F.slice("words", F.lit(1), F.greatest(F.size("words") - 2, F.lit(0))),
-            lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)),
-        ).alias("hashes"),
-    )
+    hashed = cut.select("*", window_hashes("words", 3).alias("hashes"))
     ordered = hashed.select(
         "*", F.when(
             F.size(F.array_distinct("hashes")) < F.size("hashes"),
             F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("at")))),
         ).otherwise(F.array().cast("array<struct<h:bigint,at:int>>")).alias("ordered"),
     )
-    counted = ordered.select(
-        "row",
-        F.size("words").cast("long").alias("n_words"),
-        _count(r"[^\x20\x09-\x0D]+").alias("word_chars"),
-        _count(r"[#*$%&|<>]+").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeated_words("ordered").alias("n_repeat_words"),
-        _count(r"[A-Z]+").alias("n_upper"),
-        _count(r"[a-z]+").alias("n_lower"),
-        _count("!+").alias("n_marks"),
-        F.size(F.filter("words", lambda w: w.endswith(".") | w.endswith("?") | w.endswith("!"))).cast("long").alias("n_stops"),
-        F.size(F.filter("words", lambda w: w.isin(*SYMBOLS))).cast("long").alias("n_short"),
-    )
-    return counted.withColumn(
+    counts = {
+        "n_words": F.size("words"),
+        "word_chars": F.char_length(F.array_join("words", "")),
+        "n_symbols": F.regexp_count("body", F.lit(r"[#*$%&|<>]")),
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": _repeated_words("ordered"),
+        "n_symbol_runs": F.regexp_count("body", F.lit(r"[#*$%&|<>]{2,}")),
+        "n_bare_symbols": F.regexp_count("body", F.lit(r" [#*$%&|<>] ")),
+        "n_capitals": F.regexp_count("body", F.lit(r"[A-Z]{2,}")),
+        "n_marks": F.char_length("body") - F.char_length(F.replace("body", F.lit("!"), F.lit(""))),
+        "n_stops": F.size(F.filter("words", lambda w: w.endswith(".") | w.endswith("?") | w.endswith("!"))),
+    }
+    return ordered.select("row", *[c.cast("long").alias(n) for n, c in counts.items()]).withColumn(
         "base_failed",
         (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
     )
@@ -88,27 +75,32 @@ def _vote(good: Column, bad: Column) -> Column:
 def rule_votes() -> dict[str, Column]:
     """Each rule on the statistics: 1 for a good text, -1 for a bad one, 0 if it abstains.
 
-    A share that is far from both ends, or has nothing to count, gets no vote.
+    A share between the two bounds of a rule, or of nothing, gets no vote.
     """
-    words, letters = F.col("n_words"), F.col("n_upper") + F.col("n_lower")
-    some = words > 0
+    words = F.col("n_words")
+
+    def share(count: str, low: float, high: float) -> Column:
+        """Few of them among the words are good, many are bad."""
+        return _vote((words > 0) & (F.col(count) < low * words), F.col(count) > high * words)
+
     return {
         "length": _vote(words >= 80, words < 50),
         "word_length": _vote(
-            some & F.col("word_chars").between(3 * words, 9 * words),
-            some & ~F.col("word_chars").between(2 * words, 14 * words),
+            (words > 0) & F.col("word_chars").between(3 * words, 9 * words),
+            (words > 0) & ~F.col("word_chars").between(2 * words, 14 * words),
         ),
-        "symbols": _vote(some & (50 * F.col("n_symbols") < words), 10 * F.col("n_symbols") > words),
-        "bare_symbols": _vote(some & (50 * F.col("n_short") < words), 5 * F.col("n_short") > words),
-        "repeats": _vote(some & (10 * F.col("n_repeat_words") < words), 10 * F.col("n_repeat_words") > 3 * words),
+        "symbols": share("n_symbols", 0.02, 0.1),
+        "symbol_runs": share("n_symbol_runs", 0.02, 0.1),
+        "bare_symbols": share("n_bare_symbols", 0.02, 0.1),
+        "repeats": share("n_repeat_words", 0.1, 0.3),
         "lines": _vote(
             (F.col("n_lines") >= 2) & (10 * F.col("n_dup_lines") < F.col("n_lines")),
             10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
         ),
-        "capitals": _vote((letters > 0) & (5 * F.col("n_upper") < letters), 5 * F.col("n_upper") > 2 * letters),
-        "marks": _vote(some & (50 * F.col("n_marks") < words), 10 * F.col("n_marks") > words),
+        "capitals": share("n_capitals", 0.1, 0.3),
+        "marks": share("n_marks", 0.02, 0.1),
         "sentences": _vote(
-            some & F.col("n_stops").between(0.01 * words, 0.35 * words),
+            (words > 0) & F.col("n_stops").between(0.01 * words, 0.35 * words),
             (words >= 50) & (200 * F.col("n_stops") < words),
         ),
     }
@@ -122,14 +114,27 @@ class LabelModel:
     on_good: dict[str, float]
     on_bad: dict[str, float]
 
+    def numbers(self) -> list[float]:
+        return [self.share, *self.on_good.values(), *self.on_bad.values()]
+
+    def weights(self) -> tuple[float, dict[str, dict[int, float]]]:
+        """Log odds before any vote, and what a vote of each rule adds to them."""
+        return math.log(self.share / (1 - self.share)), {
+            r: {1: math.log(g / self.on_bad[r]), -1: math.log((1 - g) / (1 - self.on_bad[r]))}
+            for r, g in self.on_good.items()
+        }
+
+    def probability(self, votes: dict[str, int]) -> float:
+        odds, weights = self.weights()
+        odds += sum(weights[r][v] for r, v in votes.items() if v)
+        return 1 / (1 + math.exp(-odds))
+
     def posterior(self, votes: dict[str, Column]) -> Column:
         """Probability that a text is good, given the votes of the rules that do not abstain."""
-        odds = F.lit(math.log(self.share / (1 - self.share)))
+        start, weights = self.weights()
+        odds = F.lit(start)
         for rule, vote in votes.items():
-            g, b = self.on_good[rule], self.on_bad[rule]
-            odds = odds + F.when(vote > 0, math.log(g / b)).when(
-                vote < 0, math.log((1 - g) / (1 - b))
-            ).otherwise(0.0)
+            odds = odds + F.when(vote > 0, weights[rule][1]).when(vote < 0, weights[rule][-1]).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
 
@@ -141,42 +146,46 @@ def vote_patterns(statistics: DataFrame) -> DataFrame:
     )
 
 
-def fit_label_model(patterns: DataFrame, rounds: int = 50, tolerance: float = 1e-6) -> LabelModel:
-    """Estimate the rules' accuracies from their votes alone.
+#: What is believed before a text is seen: share of good texts, chances of a good vote on either kind.
+#: A bad text breaks some rules only, so the rest still speak well of it. The beliefs weigh as much as
+#: this share of all texts.
+START = (0.8, 0.99, 0.6)
+BELIEF = 0.5
 
-    Each round is one aggregate over the patterns, whose few sums come to the driver. It starts from
-    rules that are right four times in five, and counts ten imagined votes of that kind on either
-    side, so that a rule nobody votes with stays defined. With no texts the start is returned.
+
+def fit_label_model(patterns: DataFrame, rounds: int = 200, tolerance: float = 1e-9) -> LabelModel:
+    """Estimate the share of good texts and the rules' accuracies from the votes alone.
+
+    Texts are counted by pattern in Spark; the patterns, at most three to the number of rules however
+    many texts there are, come to the driver, where the rounds of expectation and maximisation are
+    plain sums. With no texts the starting beliefs are returned.
     """
     rules = [c for c in patterns.columns if c != "texts"]
-    model = LabelModel(0.8, dict.fromkeys(rules, 0.8), dict.fromkeys(rules, 0.2))
-    for _ in range(rounds):
-        p = model.posterior({r: F.col(r) for r in rules})
-        weighed = patterns.select("*", (F.col("texts") * p).alias("good"))
-        sums = [F.sum("texts").alias("all"), F.sum("good").alias("good")]
-        for r in rules:
-            for name, sign in (("up", F.col(r) > 0), ("down", F.col(r) < 0)):
-                sums += [
-                    F.sum(F.when(sign, F.col("good")).otherwise(0.0)).alias(f"{r}_{name}_good"),
-                    F.sum(F.when(sign, F.col("texts") - F.col("good")).otherwise(0.0)).alias(f"{r}_{name}_bad"),
-                ]
-        s = weighed.agg(*sums).first()
-        if not s["all"]:
-            return model
-
-        def chance(rule: str, side: str, start: float, s=s) -> float:
-            up, down = s[f"{rule}_up_{side}"], s[f"{rule}_down_{side}"]
-            return (up + 10 * start) / (up + down + 10)
+    share, on_good, on_bad = START
+    model = LabelModel(share, dict.fromkeys(rules, on_good), dict.fromkeys(rules, on_bad))
+    seen = sorted((tuple(r[c] for c in rules), r["texts"]) for r in patterns.collect())
+    weight = 1 + BELIEF * sum(n for _, n in seen)
+    for _ in range(rounds if seen else 0):
+        good_texts = bad_texts = 0.0
+        votes = {r: {("good", 1): 0.0, ("good", -1): 0.0, ("bad", 1): 0.0, ("bad", -1): 0.0} for r in rules}
+        for pattern, n in seen:
+            good = n * model.probability(dict(zip(rules, pattern, strict=True)))
+            good_texts += good
+            bad_texts += n - good
+            for rule, vote in zip(rules, pattern, strict=True):
+                if vote:
+                    votes[rule]["good", vote] += good
+                    votes[rule]["bad", vote] += n - good
+
+        def chance(rule: str, kind: str, start: float, votes=votes) -> float:
+            up, down = votes[rule][kind, 1], votes[rule][kind, -1]
+            return (up + weight * start) / (up + down + weight)
 
         new = LabelModel(
-            (s["good"] + 8) / (s["all"] + 10),
-            {r: chance(r, "good", 0.8) for r in rules}, {r: chance(r, "bad", 0.2) for r in rules},
-        )
-        moved = max(
-            abs(new.share - model.share),
-            *[abs(new.on_good[r] - model.on_good[r]) for r in rules],
-            *[abs(new.on_bad[r] - model.on_bad[r]) for r in rules],
+            (good_texts + weight * share) / (good_texts + bad_texts + weight),
+            {r: chance(r, "good", on_good) for r in rules}, {r: chance(r, "bad", on_bad) for r in rules},
         )
+        moved = max(abs(a - b) for a, b in zip(new.numbers(), model.numbers(), strict=True))
         model = new
         if moved < tolerance:
             break

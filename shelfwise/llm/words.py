@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import string
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +21,32 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def split_words(text: Column, separators: str = SPACES) -> Column:
-    """The words of a text in order; none where it is NULL or empty."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
+def split_words(text: Column) -> Column:
+    """The words of a text between ASCII white space, in order; none where it is NULL or empty.
+
+    Blanks and line breaks, nearly all there is, are split without a pattern.
+    """
+    body = F.coalesce(text, F.lit(""))
+    rare = reduce(or_, [F.contains(body, F.lit(c)) for c in "\t\x0b\x0c\r"])
+    plain = F.split(F.replace(body, F.lit("\n"), F.lit(" ")), " ")
+    return F.array_remove(F.when(rare, F.split(body, SPACES)).otherwise(plain), "")
+
+
+def split_alphanumeric(text: Column) -> Column:
+    """The words of a text between ASCII characters that are neither letters nor digits."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), NON_WORD), "")
+
+
+def window_hashes(words: str | Column, size: int) -> Column:
+    """A 64-bit hash of every window of ``size`` words, in order; none if there are fewer words.
+
+    It is made of the words' own hashes, so that a word is hashed once.
+    """
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return F.element_at(F.transform(F.array(hashed), lambda h: F.transform(
+        F.slice(h, F.lit(1), F.greatest(F.size(h) - (size - 1), F.lit(0))),
+        lambda first, i: F.xxhash64(first, *[F.get(h, i + k) for k in range(1, size)]),
+    )), 1)
 
 
 def row_key(*columns: Column) -> Column:
