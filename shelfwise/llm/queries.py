@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import decontaminate, quality, simhash, url_filter
+from shelfwise.llm import decontaminate, quality, simhash, substrings, url_filter
 from shelfwise.llm.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,15 @@ def op5_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document loses and keeps when repeated passages go."""
+    kept = substrings.remove_repeats(_table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return kept.select(
+        "doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept"), 256).alias("kept_sha256")
+    )
+
+
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """What of the benchmark occurs in every document."""
     found = decontaminate.report_contamination(
@@ -62,11 +71,30 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op5_simhash_neardup, op8_benchmark_decontamination, op9_url_filter, op10_quality_rules,
+        op5_simhash_neardup, op6_substring_dedup, op8_benchmark_decontamination, op9_url_filter, op10_quality_rules,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op6_substring_dedup": r"""
+WITH d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+        row_number() OVER () AS r
+    FROM documents),
+p AS (
+    SELECT r, pos, array_to_string(words[pos:pos + 34], ' ') AS gram
+    FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS pos FROM d WHERE len(words) >= 35)),
+h AS (SELECT r, pos FROM p QUALIFY count(*) OVER (PARTITION BY gram) > 1),
+g AS (SELECT r, list(DISTINCT k) AS gone FROM (SELECT r, unnest(range(pos, pos + 35)) AS k FROM h) GROUP BY r),
+k AS (
+    SELECT d.r, string_agg(words[d.i], ' ' ORDER BY d.i) AS kept
+    FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM d) d LEFT JOIN
+        (SELECT r, unnest(gone) AS i, true AS x FROM g) x ON d.r = x.r AND d.i = x.i
+    WHERE x.i IS NULL GROUP BY d.r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (r) LEFT JOIN k USING (r)
+""",
     "op8_benchmark_decontamination": r"""
 WITH d AS (
     SELECT doc_id, list_filter(regexp_split_to_array(
