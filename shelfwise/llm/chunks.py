@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +13,7 @@ from shelfwise.llm.storage import stored
 
 CHUNK_BYTES = 4 << 20
 
-SCHEMA = "chunk string, ids array<bigint>, flags array<boolean>, n_words long, body binary"
+SCHEMA = "chunk long, ids array<bigint>, flags array<boolean>, n_words long, body binary"
 
 
 def pack_texts(documents: DataFrame, name: str, lower: bool = False,
@@ -31,8 +31,8 @@ def pack_texts(documents: DataFrame, name: str, lower: bool = False,
         ids, flags, lines, size, words = [], [], [], 0, 0
 
         def chunk() -> pa.RecordBatch:
-            values = [uuid.uuid4().hex], [ids], [flags], [words], [b"\n".join(lines) + b"\n"]
-            kinds = pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary()
+            values = [secrets.randbits(63)], [ids], [flags], [words], [b"\n".join(lines) + b"\n"]
+            kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary()
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, k) for v, k in zip(values, kinds, strict=True)],
                 names=["chunk", "ids", "flags", "n_words", "body"],
@@ -64,7 +64,7 @@ def word_counts(body: bytes) -> np.ndarray:
 
 
 def each_chunk(work: Callable, names: list[str]) -> Callable:
-    """A function for ``mapInArrow`` that calls ``work`` with the row of every chunk as a dict.
+    """A function for ``mapInArrow`` that calls ``work`` with the Arrow values of every chunk's row.
 
     ``work`` yields lists of columns. Rows are taken one at a time, so that one chunk is in memory.
     """
@@ -72,7 +72,7 @@ def each_chunk(work: Callable, names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
                 for columns in work(row):
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import decontaminate, quality, simhash, substrings, url_filter
+from shelfwise.llm import ctw, decontaminate, quality, simhash, substrings, url_filter
 from shelfwise.llm.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Code length of every document, beside its probability by word frequencies."""
+    return ctw.score_texts(_table(spark, folder, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """What of the benchmark occurs in every document."""
     found = decontaminate.report_contamination(
@@ -71,7 +76,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op5_simhash_neardup, op6_substring_dedup, op8_benchmark_decontamination, op9_url_filter, op10_quality_rules,
+        op5_simhash_neardup, op6_substring_dedup, op7_lm_scoring, op8_benchmark_decontamination, op9_url_filter, op10_quality_rules,
     )
 }
 

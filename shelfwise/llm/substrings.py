@@ -18,7 +18,6 @@ WINDOW = 35
 ENTRY_BYTES = 10
 BUCKET_BYTES = 16 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_MASK = (1 << 64) - 1
 
 
 def rolling_hashes(values: np.ndarray, window: int, base: int) -> np.ndarray:
@@ -30,12 +29,11 @@ def rolling_hashes(values: np.ndarray, window: int, base: int) -> np.ndarray:
     n = len(values)
     if n < window:
         return np.zeros(0, np.uint64)
-    inverse = pow(base, -1, 1 << 64)
+    up = np.full(n, base, np.uint64)
+    back = np.full(n - window + 1, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = back[0] = 1
     with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate(([1], np.full(n - 1, base, np.uint64))), dtype=np.uint64)
-        back = np.cumprod(
-            np.concatenate(([1], np.full(n - window, inverse, np.uint64))), dtype=np.uint64
-        )
+        up, back = np.cumprod(up), np.cumprod(back)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up, dtype=np.uint64)))
         hashes = (sums[window:] - sums[:-window]) * back
         # Low bits of a product hang on low bits only: mix them with the high ones.
@@ -66,13 +64,13 @@ def _windows(body: bytes, window: int, buckets: int):
 
 def _entries(window: int, buckets: int):
     def work(row: dict) -> Iterator[list]:
-        _, _, _, first, second, bucket, order, new = _windows(row["body"], window, buckets)
+        _, _, _, first, second, bucket, order, new = _windows(row["body"].as_py(), window, buckets)
         sent = order[new]
         cuts = np.searchsorted(bucket[sent], np.arange(buckets + 1))
         h, x = first[sent], (second[sent] & np.uint64(0xFFFF)).astype(np.uint16)
         full = np.flatnonzero(np.diff(cuts))
         yield [
-            pa.array(full.astype(np.int32)), pa.array([row["chunk"]] * len(full), pa.string()),
+            pa.array(full.astype(np.int32)), pa.array([row["chunk"].as_py()] * len(full), pa.int64()),
             pa.array([h[cuts[b]:cuts[b + 1]].tobytes() for b in full], pa.binary()),
             pa.array([x[cuts[b]:cuts[b + 1]].tobytes() for b in full], pa.binary()),
         ]
@@ -98,16 +96,16 @@ def _met_elsewhere(table: pa.Table) -> pa.Table:
         "bucket": table.column("bucket").take(pa.array(some, pa.int64())),
         "chunk": table.column("chunk").take(pa.array(some, pa.int64())),
         "bits": pa.array([np.packbits(parts[i]).tobytes() for i in some], pa.binary()),
-    }).cast(pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("bits", pa.binary())]))
+    }).cast(pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("bits", pa.binary())]))
 
 
 def _removals(window: int, buckets: int):
     def work(row: dict) -> Iterator[list]:
-        counts, words, starts, _, _, bucket, order, new = _windows(row["body"], window, buckets)
+        counts, words, starts, _, _, bucket, order, new = _windows(row["body"].as_py(), window, buckets)
         group = np.cumsum(new) - 1  # of each window in order, the place of its hash among those sent
         repeated = np.bincount(group, minlength=1) > 1 if len(order) else np.zeros(0, bool)
         cuts = np.searchsorted(bucket[order[new]], np.arange(buckets + 1))
-        for answer in row["met"] or []:
+        for answer in row["met"].as_py() or []:
             b = answer["bucket"]
             bits = np.unpackbits(np.frombuffer(answer["bits"], np.uint8))
             repeated[cuts[b]:cuts[b + 1]] |= bits[:cuts[b + 1] - cuts[b]].astype(bool)
@@ -134,7 +132,7 @@ def _removals(window: int, buckets: int):
                 here = start + e
             texts.append(b" ".join(kept + words[here:stop]).decode())
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield [pa.array(row["ids"], pa.int64()), pa.array(counts), pa.array(spans, span), pa.array(texts, pa.string())]
+        yield [row["ids"].values, pa.array(counts), pa.array(spans, span), pa.array(texts, pa.string())]
 
     return each_chunk(work, ["doc_id", "n_words", "spans", "kept"])
 
@@ -160,10 +158,10 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, bucket_bytes: int
         -(-words * ENTRY_BYTES // bucket_bytes), int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     )
     entries = chunks.select("chunk", "body").mapInArrow(
-        _entries(window, buckets), "bucket int, chunk string, first binary, second binary"
+        _entries(window, buckets), "bucket int, chunk long, first binary, second binary"
     )
     met = stored(
-        entries.groupBy("bucket").applyInArrow(_met_elsewhere, "bucket int, chunk string, bits binary"), "met"
+        entries.groupBy("bucket").applyInArrow(_met_elsewhere, "bucket int, chunk long, bits binary"), "met"
     )
     answers = met.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("met"))
     answered = chunks.join(answers, "chunk", "left").select("ids", "body", "met")
