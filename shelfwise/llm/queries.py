@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import ctw, decontaminate, quality, simhash, substrings, url_filter
+from shelfwise.llm import ctw, decontaminate, licenses, mixing, quality, simhash, substrings, token_store, toxicity, url_filter
 from shelfwise.llm.storage import stored
+from shelfwise.llm.words import split_words
+from shelfwise.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +25,53 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    sized = _table(spark, folder, "documents").select("doc_id", "source", "text")
+    # Counted before the rows are dealt out, so that no text is.
+    counted = sized.select("doc_id", "source", F.xxhash64("text").alias("text"), F.size(split_words(F.col("text"))).alias("size"))
+    return mixing.mix_sources(counted, F.col("size")).select(
+        "row.doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken")
+    )
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities and verdicts of every document, under a chain fitted on the labels.
+
+    The labels tell whether a text is toxic and whether it is junk: the chain asks first whether it is
+    toxic, then whether it is toxic junk.
+    """
+    documents = _table(spark, folder, "documents")
+    labels = _table(spark, folder, "labels").select(
+        "doc_id", "toxic", (F.col("toxic") * (1 - F.col("quality"))).alias("toxic_junk")
+    )
+    chain = toxicity.fit_chain(documents, labels, ["toxic", "toxic_junk"])
+    return toxicity.score_toxicity(documents, chain)
+
+
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The licence families whose notices every document has, by name."""
+    documents = _table(spark, folder, "documents")
+    found = licenses.scan_licenses(documents, licenses.fit_classifier(documents))
+    return found.select(
+        "doc_id", F.size("notices").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct("notices.family")), ",").alias("families"),
+    )
+
+
+def op3_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids, written in the library's format and read back from it."""
+    import public_tokenizers
+
+    path = scratch_path(spark, "tokens")
+    token_store.write_tokens(
+        _table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2
+    )
+    return token_store.read_tokens(spark, path).select(
+        "doc_id", "start", F.expr("length(tokens) div 4").alias("n_tokens"), F.crc32("tokens").alias("ids_crc32")
+    )
+
+
 def op5_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicate_classes(_table(spark, folder, "documents")).select(
@@ -76,7 +125,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op5_simhash_neardup, op6_substring_dedup, op7_lm_scoring, op8_benchmark_decontamination, op9_url_filter, op10_quality_rules,
+        op1_source_mixing, op2_toxicity, op3_token_ids, op4_license_scan, op5_simhash_neardup, op6_substring_dedup, op7_lm_scoring, op8_benchmark_decontamination, op9_url_filter, op10_quality_rules,
     )
 }
 
