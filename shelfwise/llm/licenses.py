@@ -201,7 +201,7 @@ def fit_classifier(documents: DataFrame, templates: dict[str, list[str]] = TEMPL
     ).orderBy("draw").limit(sample_paragraphs).select("paragraph")
     # A group of its own, so that there is a model without any paragraph too.
     spark = documents.sparkSession
-    rows = sample.union(spark.createDataFrame([(None,)], "paragraph string")).groupBy(F.lit(0)).applyInPandas(
+    rows = sample.union(spark.createDataFrame([(None,)], "paragraph string")).groupBy().applyInPandas(
         _fit(templates, folds, penalty), "family int, kind string, name string, value double"
     ).collect()  # at most the words and pairs of the notices and the sample
     families = sorted(templates)

@@ -101,7 +101,7 @@ def fit_chain(documents: DataFrame, labels: DataFrame, categories: list[str], sa
     sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn(
         "fold", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(folds))
     )
-    fitted = sample.groupBy(F.lit(0)).applyInPandas(
+    fitted = sample.groupBy().applyInPandas(
         _fit(categories, folds, penalty), "category int, kind string, name string, value double"
     ).collect()  # words with a weight: at most the words of the sample
     n = len(categories)
