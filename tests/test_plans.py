@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+from shelfwise.checks import QUERIES
 from shelfwise.checks.tables import Tables
 from shelfwise.operators import joins
 from shelfwise.plans import etl, views
@@ -26,9 +26,9 @@ def plan_of(capsys):
     return explain
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in FITTED])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in FITTED])
 def test_no_row_python_and_no_cross_join(spark, plan_of, name):
-    plan = plan_of(entry.queries()[name](spark, FOLDER))
+    plan = plan_of(QUERIES[name](spark, FOLDER))
     for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in plan
 

@@ -6,10 +6,10 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from shelfwise.checks import ORACLES, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
