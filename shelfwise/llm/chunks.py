@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from shelfwise.llm.storage import stored
@@ -21,17 +22,19 @@ def pack_texts(documents: DataFrame, name: str, lower: bool = False,
     """Stored chunks of ``documents`` (``doc_id``, ``text`` and optionally a boolean ``flag``).
 
     ``body`` has a line for each text: its words between ASCII white space, joined by a blank, with A-Z
-    lower-cased if asked. A NULL text is an empty line. A chunk ends after the text that fills it, so it is
-    as large as ``chunk_bytes`` and one text at most. Its random name is safe because the table is
-    stored before anything reads it: of a task that ran twice one outcome is committed.
+    lower-cased if asked; it is compressed (see ``body_of``). A NULL text is an empty line. A chunk ends
+    after the text that fills it, so it is as large as ``chunk_bytes`` and one text at most. It is named by
+    the task that made it and its place there; as the table is stored before anything reads it, a
+    task that ran twice does no harm.
     """
     flagged = "flag" in documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, flags, lines, size, words = [], [], [], 0, 0
+        name = TaskContext.get().partitionId() << 24
 
         def chunk() -> pa.RecordBatch:
-            values = [secrets.randbits(63)], [ids], [flags], [words], [b"\n".join(lines) + b"\n"]
+            values = [name], [ids], [flags], [words], [zstandard.compress(b"\n".join(lines) + b"\n", 1)]
             kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary()
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, k) for v, k in zip(values, kinds, strict=True)],
@@ -51,6 +54,7 @@ def pack_texts(documents: DataFrame, name: str, lower: bool = False,
                 if size >= chunk_bytes:
                     yield chunk()
                     ids, flags, lines, size, words = [], [], [], 0, 0
+                    name += 1
         if lines:
             yield chunk()
 
@@ -58,6 +62,10 @@ def pack_texts(documents: DataFrame, name: str, lower: bool = False,
     return stored(documents.select(*columns).mapInArrow(run, SCHEMA), name)
 
 
+def body_of(row: dict) -> bytes:
+    return zstandard.decompress(row["body"].as_py())
+
+
 def word_counts(body: bytes) -> np.ndarray:
     """Number of words of each line."""
     return np.fromiter((line.count(b" ") + 1 if line else 0 for line in body.split(b"\n")[:-1]), np.int64)

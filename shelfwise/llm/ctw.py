@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.chunks import each_chunk, pack_texts
+from shelfwise.llm.chunks import body_of, each_chunk, pack_texts
 from shelfwise.llm.storage import stored
 
 DEPTH = 4
@@ -151,21 +151,56 @@ def _grams(body: bytes, depth: int) -> np.ndarray:
     return key
 
 
-def _look_up(grams: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The values of ``grams``, all of which are ``known``: by the ranks of their two halves, in a table."""
-    def ranks(halves: np.ndarray) -> tuple[np.ndarray, int]:
-        rank = np.zeros(int(halves.max()) + 1, np.int32)
-        rank[halves] = 1
-        return np.cumsum(rank, dtype=np.int32) - 1, int(rank.sum())
+#: Bytes of a chunk's texts whose contexts are written out at a time.
+BLOCK_BYTES = 1 << 20
 
-    if known.max() >= 1 << 40:  # deeper contexts: too wide for a table
-        order = np.argsort(known)
-        return values[order][np.searchsorted(known[order], grams)]
-    front, _ = ranks(known >> 16)
-    back, wide = ranks(known & 0xFFFF)
-    table = np.zeros(int(front[-1] + 1) * wide, np.float32)
-    table[front[known >> 16].astype(np.int64) * wide + back[known & 0xFFFF]] = values
-    return table[front[grams >> 16].astype(np.int64) * wide + back[grams & 0xFFFF]]
+
+def _blocks(lines: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of lines of about ``BLOCK_BYTES``; a text reads nothing of the one before."""
+    start, size = 0, 0
+    for i, line in enumerate(lines):
+        size += len(line) + 1
+        if size >= BLOCK_BYTES or i == len(lines) - 1:
+            yield start, i + 1
+            start, size = i + 1, 0
+
+
+def _body(lines: list[bytes]) -> bytes:
+    return b"\n".join(lines) + b"\n"
+
+
+class _Costs:
+    """What grams cost, found by the ranks of their two halves in a table."""
+
+    def __init__(self, known: np.ndarray, values: np.ndarray) -> None:
+        self.table = None
+        if known.max() >= 1 << 40:  # deeper contexts are too wide for a table
+            order = np.argsort(known)
+            self.known, self.values = known[order], values[order]
+            return
+        self.front, self.back = self._ranks(known >> 16), self._ranks(known & 0xFFFF)
+        self.wide = int(self.back[-1]) + 1
+        self.table = np.zeros((int(self.front[-1]) + 1) * self.wide, np.float32)
+        self.table[self._place(known)] = values
+
+    @staticmethod
+    def _ranks(halves: np.ndarray) -> np.ndarray:
+        seen = np.zeros(int(halves.max()) + 1, np.int32)
+        seen[halves] = 1
+        return np.cumsum(seen, dtype=np.int32) - 1
+
+    def _place(self, grams: np.ndarray) -> np.ndarray:
+        return self.front[grams >> 16].astype(np.int64) * self.wide + self.back[grams & 0xFFFF]
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            return self.values[np.searchsorted(self.known, grams)]
+        return self.table[self._place(grams)]
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
 
 def _chunk_counts(depth: int):
@@ -175,27 +210,26 @@ def _chunk_counts(depth: int):
     """
 
     def work(row: dict) -> Iterator[list]:
-        body, held = row["body"].as_py(), np.array(row["flags"].as_py(), bool)
-        lines = body.split(b"\n")[:-1]
-        train = np.repeat(~held, [len(x) + 1 for x in lines])
-        every = _grams(body, depth)
-        grams = np.unique(every)
-        learnt, times = np.unique(every[train], return_counts=True)
-        seen = np.zeros(len(grams), np.int64)
-        seen[np.searchsorted(grams, learnt)] = times
-        words = Counter()
-        for line, out in zip(lines, held.tolist(), strict=True):
-            if not out:
-                words.update(line.split())
-                words[b""] += 1
-        n, m = len(grams), len(words)
-        unseen = {w for line, out in zip(lines, held.tolist(), strict=True) if out for w in (*line.split(), b"")}
-        unseen = [w for w in unseen if w not in words]
+        lines, held = body_of(row).split(b"\n")[:-1], np.array(row["flags"].as_py(), bool)
+        parts, words, others = [], Counter(), set()
+        for start, stop in _blocks(lines):
+            some, out = lines[start:stop], held[start:stop]
+            every = _grams(_body(some), depth)
+            train = np.repeat(~out, [len(x) + 1 for x in some])
+            parts.append(np.unique(every[train], return_counts=True))
+            unseen = np.unique(every[~train])
+            parts.append((unseen, np.zeros(len(unseen), np.int64)))
+            for line, is_out in zip(some, out.tolist(), strict=True):
+                (others if is_out else words).update([*line.split(), b""])
+        grams, seen = _summed(parts)
+        others = [w for w in others if w not in words]
+        n, m = len(grams), len(words) + len(others)
+        times = np.concatenate((seen, np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(others), np.int64)))
         yield [
-            pa.array(np.full(n + m + len(unseen), row["chunk"].as_py())),
-            pa.concat_arrays([pa.array(grams), pa.nulls(m + len(unseen), pa.int64())]),
-            pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([*words, *unseen], pa.binary())]),
-            pa.array(np.concatenate((seen, np.fromiter(words.values(), np.int64, m), np.zeros(len(unseen), np.int64)))),
+            pa.array(np.full(n + m, row["chunk"].as_py())),
+            pa.concat_arrays([pa.array(grams), pa.nulls(m, pa.int64())]),
+            pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([*words, *others], pa.binary())]),
+            pa.array(times),
         ]
 
     return each_chunk(work, ["chunk", "gram", "word", "n"])
@@ -232,7 +266,8 @@ def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _code_lengths(depth: int, top: dict[int, tuple[float, float]]):
     def work(table: pa.Table) -> pa.Table:
         key, n = _sorted(table)
-        return pa.table({"gram": key, "cost": _bits(_levels(key, n, depth, 1), top) / math.log(10)})
+        cost = _bits(_levels(key, n, depth, 1), top) / math.log(10)
+        return pa.table({"gram": key, "cost": cost.astype(np.float32)})
 
     return work
 
@@ -241,17 +276,20 @@ def _scores(depth: int, total: int, distinct: int):
     unknown = math.log10(0.5 / (total + 0.5 * (distinct + 1)))
 
     def work(row: dict) -> Iterator[list]:
-        body = row["body"].as_py()
-        lines = body.split(b"\n")[:-1]
+        lines = body_of(row).split(b"\n")[:-1]
         words, costs = row["words"].values, row["grams"].values
         logs = dict(zip(
             words.field("word").to_pylist(),
             np.log10((words.field("n").to_numpy() + 0.5) / (total + 0.5 * (distinct + 1))).tolist(),
             strict=True,
         )) if words is not None else {}
-        each = _look_up(_grams(body, depth), costs.field("gram").to_numpy(), costs.field("cost").to_numpy())
+        table = _Costs(costs.field("gram").to_numpy(), costs.field("cost").to_numpy())
         sizes = np.array([len(x) + 1 for x in lines])
-        score = np.add.reduceat(each, np.cumsum(sizes) - sizes, dtype=np.float64)
+        score = np.zeros(len(lines))
+        for start, stop in _blocks(lines):
+            own = sizes[start:stop]
+            each = table.of(_grams(_body(lines[start:stop]), depth))
+            score[start:stop] = np.add.reduceat(each, np.cumsum(own) - own, dtype=np.float64)
         base, found, tokens = [], [], []
         for line in lines:
             parts = [logs.get(w) for w in (*line.split(), b"")]
@@ -306,7 +344,7 @@ def score_texts(documents: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHU
         _branch(depth), "prefix int, zeros double, ones double, weighted double"
     )
     top = root_trust(branches)
-    costs = stored(grams.groupBy("near").applyInArrow(_code_lengths(depth, top), "gram long, cost double"), "costs")
+    costs = stored(grams.groupBy("near").applyInArrow(_code_lengths(depth, top), "gram long, cost float"), "costs")
     by_gram = stored(
         counts.filter("gram is not null").select("chunk", "gram").join(costs, "gram").groupBy("chunk")
         .agg(F.collect_list(F.struct("gram", "cost")).alias("grams")), "by_gram",

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.chunks import each_chunk, pack_texts, word_counts
+from shelfwise.llm.chunks import body_of, each_chunk, pack_texts, word_counts
 from shelfwise.llm.storage import stored
 
 WINDOW = 35
@@ -64,7 +64,7 @@ def _windows(body: bytes, window: int, buckets: int):
 
 def _entries(window: int, buckets: int):
     def work(row: dict) -> Iterator[list]:
-        _, _, _, first, second, bucket, order, new = _windows(row["body"].as_py(), window, buckets)
+        _, _, _, first, second, bucket, order, new = _windows(body_of(row), window, buckets)
         sent = order[new]
         cuts = np.searchsorted(bucket[sent], np.arange(buckets + 1))
         h, x = first[sent], (second[sent] & np.uint64(0xFFFF)).astype(np.uint16)
@@ -101,7 +101,7 @@ def _met_elsewhere(table: pa.Table) -> pa.Table:
 
 def _removals(window: int, buckets: int):
     def work(row: dict) -> Iterator[list]:
-        counts, words, starts, _, _, bucket, order, new = _windows(row["body"].as_py(), window, buckets)
+        counts, words, starts, _, _, bucket, order, new = _windows(body_of(row), window, buckets)
         group = np.cumsum(new) - 1  # of each window in order, the place of its hash among those sent
         repeated = np.bincount(group, minlength=1) > 1 if len(order) else np.zeros(0, bool)
         cuts = np.searchsorted(bucket[order[new]], np.arange(buckets + 1))
