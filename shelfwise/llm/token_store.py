@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+import string
+import sys
 import unicodedata
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,8 @@ from shelfwise.llm.words import row_key
 CHUNK_BITS = 8
 RANK_EVERY = 512
 SHARD_TOKENS = 1 << 22
-#: Words whose ids an encoder remembers; it forgets all of them at once beyond that.
-REMEMBERED = 1 << 20
+#: Words, and parts of words, whose ids an encoder remembers; beyond that it forgets all at once.
+REMEMBERED = 400_000
 
 SHARD = (
     "part int, shard int, doc_ids array<bigint>, sizes array<bigint>, n_tokens long, "
@@ -107,19 +110,25 @@ class WordEncoder:
         import json
 
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self.whole = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.whole.model)
-        self.model.pre_tokenizer = WhitespaceSplit()
         ends = config["model"]["end_of_word_suffix"]
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in config["model"]["merges"]]
+        # Each part is asked for once, so the model need not remember any.
+        self.model = Tokenizer(BPE(config["model"]["vocab"], merges, cache_capacity=0, end_of_word_suffix=ends))
+        self.model.pre_tokenizer = WhitespaceSplit()
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith(ends)]] = True
         # Python and the tokenizer differ on some of these; texts that have them are encoded whole.
         self.other_spaces = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+        # Words with other characters, or a special token, go through the whole tokenizer.
+        self.odd = re.compile("[^\n]*(?:[^\n\x21-\x7e\xa1-\u024f]|<\\|)[^\n]*")
+        self.marks = set(string.punctuation)
         self.cut = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
@@ -128,27 +137,38 @@ class WordEncoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.alphabet = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+        del self.alphabet[32]  # parts have no blank; it stands between them
 
     def _learn_parts(self, parts: list[str]) -> None:
-        for start in range(0, len(parts), 256):
-            some = parts[start:start + 256]
-            mapped = " ".join(p.encode().decode("latin1").translate(self.alphabet) for p in some)
+        for start in range(0, len(parts), 1024):
+            some = parts[start:start + 1024]
+            mapped = " ".join(some).encode().decode("latin1").translate(self.alphabet)
             ids = np.array(self.model.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
-            pieces = np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
-            self.parts.update((p, x.tobytes()) for p, x in zip(some, pieces, strict=True))
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            codes = ids.tobytes()
+            self.parts.update(
+                (p, codes[i:j]) for p, i, j in zip(some, cuts[:-1], cuts[1:], strict=True)
+            )
 
     def _learn(self, words: list[str]) -> None:
-        cuts, rest = {}, []
-        for w in words:
-            if w.isascii() and w.isalpha():
-                cuts[w] = [w.lower()]
-            elif max(w) < "ɐ" and "<|" not in w and not re.search(r"[\x00-\x20\x7f-\xa0]", w):
-                cuts[w] = self.cut.findall(unicodedata.normalize("NFC", w).lower())
+        joined = "\n".join(words)
+        rest = {w for w in self.odd.findall(joined)}
+        plain = [w for w in words if w not in rest] if rest else words
+        cuts = []
+        for w in unicodedata.normalize("NFC", "\n".join(plain)).lower().split("\n") if plain else []:
+            if w.isalpha():
+                cuts.append((w,))
+            elif w[-1] in self.marks and w[:-1].isalpha():
+                cuts.append((w[:-1], w[-1]))
             else:
-                rest.append(w)
-        self._learn_parts(list({p for c in cuts.values() for p in c if p not in self.parts}))
+                cuts.append(self.cut.findall(w))
         parts = self.parts
-        self.known.update((w, b"".join([parts[p] for p in c])) for w, c in cuts.items())
+        self._learn_parts(list({p for c in cuts for p in c}.difference(parts)))
+        self.known.update(
+            (w, parts[c[0]] if len(c) == 1 else b"".join([parts[p] for p in c]))
+            for w, c in zip(plain, cuts, strict=True)
+        )
+        rest = list(rest)
         for start in range(0, len(rest), 256):
             some = rest[start:start + 256]
             for w, e in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False), strict=True):
@@ -159,10 +179,14 @@ class WordEncoder:
         plain = [t if t and not self.other_spaces.search(t) else "" for t in texts]
         words = [t.split() for t in plain]
         if len(self.known) > REMEMBERED:
-            self.known, self.parts = {}, {}
-        known = self.known
-        self._learn(list({w for ws in words for w in ws if w not in known}))
-        ids = [b"".join([*[known[w] for w in ws], self.end]) for ws in words]
+            self.known = {}
+        if len(self.parts) > REMEMBERED:
+            self.parts = {}
+        new = list(set().union(*words).difference(self.known))
+        if new:
+            self._learn(new)
+        look_up = self.known.__getitem__
+        ids = [b"".join(map(look_up, ws)) + self.end for ws in words]
         for i, (text, cut) in enumerate(zip(texts, plain, strict=True)):
             if text and not cut:
                 whole = self.whole.encode(text, add_special_tokens=False).ids
@@ -170,6 +194,14 @@ class WordEncoder:
         return ids
 
 
+def _encoder_of_this_process(path: str, end_id: int | None) -> WordEncoder:
+    """Workers serve many tasks: what one has learnt about words is kept for the next."""
+    kept = sys.modules.setdefault("shelfwise_worker", ModuleType("shelfwise_worker")).__dict__
+    if (path, end_id) not in kept:
+        kept[path, end_id] = WordEncoder(path, end_id)
+    return kept[path, end_id]
+
+
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int | None,
                  shard_tokens: int = SHARD_TOKENS) -> None:
     """Write the ids of every text of ``documents`` (``doc_id``, ``text``) below ``path``.
@@ -183,7 +215,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int |
     rows = documents.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("tie"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, end_id)
+        encoder = _encoder_of_this_process(tokenizer, end_id)
         part = TaskContext.get().partitionId()
         names, sizes, codes, total, shard = [], [], [], 0, 0
 
