@@ -127,7 +127,7 @@ class WordEncoder:
         # Python and the tokenizer differ on some of these; texts that have them are encoded whole.
         self.other_spaces = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
         # Words with other characters, or a special token, go through the whole tokenizer.
-        self.odd = re.compile("[^\n]*(?:[^\n\x21-\x7e\xa1-\u024f]|<\\|)[^\n]*")
+        self.odd = re.compile("[^\x20-\x7e\xa1-\u024f]|<\\|")
         self.marks = set(string.punctuation)
         self.cut = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -151,8 +151,7 @@ class WordEncoder:
             )
 
     def _learn(self, words: list[str]) -> None:
-        joined = "\n".join(words)
-        rest = {w for w in self.odd.findall(joined)}
+        rest = {w for w in words if self.odd.search(w)} if self.odd.search(" ".join(words)) else set()
         plain = [w for w in words if w not in rest] if rest else words
         cuts = []
         for w in unicodedata.normalize("NFC", "\n".join(plain)).lower().split("\n") if plain else []:
