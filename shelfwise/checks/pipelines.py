@@ -87,11 +87,24 @@ def _(t: Tables) -> DataFrame:
     return etl.flatten_reviews(good).select("user_id", "item_id", "posted", "recommend", "review")
 
 
+@query("unreadable_literal_lines", """
+    SELECT count(*) AS lines, count(*) FILTER (doc_id % 50 = 7) AS unreadable FROM documents""")
+def _(t: Tables) -> DataFrame:
+    path = sources.scratch_path(t.spark, "literal-lines")
+    _literal_lines(t).write.text(path)
+    parsed = sources.scan_literal_lines(t.spark, path, schemas.REVIEWS_RAW)
+    # Read once into a table: a scan of the marks alone would not parse the rest.
+    whole = parsed.select(F.struct("user_id", "reviews").alias("record"), "_corrupt_record")
+    return whole.agg(
+        F.count("*").alias("lines"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("unreadable")
+    )
+
+
 @query("sink_json_gz", ctes("reviews") + "SELECT * FROM reviews")
 def _(t: Tables) -> DataFrame:
     path = sources.scratch_path(t.spark, "reviews-json")
     sources.write_json_gz(t.reviews(), path)
-    return sources.scan_json_lines(t.spark, path, schemas.REVIEWS)
+    return sources.scan_json_lines(t.spark, f"{path}/*.gz", schemas.REVIEWS)
 
 
 @query("sink_csv_gz", ctes("plays") + """
@@ -99,7 +112,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     path = sources.scratch_path(t.spark, "libraries-csv")
     sources.write_csv_gz(t.libraries(), path)
-    stored = sources.scan_csv_gz(t.spark, path, schemas.LIBRARIES_CSV)
+    stored = sources.scan_csv_gz(t.spark, f"{path}/*.gz", schemas.LIBRARIES_CSV)
     items = F.from_json("items", schemas.LIBRARIES["items"].dataType).alias("items")
     rows = stored.select("user_id", items).select("user_id", F.inline("items"))
     return rows.select("user_id", "item_id", "item_name", "playtime_forever")
@@ -261,6 +274,15 @@ def _(t: Tables) -> DataFrame:
     return views.developer_sentiments(t.catalog(), t.reviews())
 
 
+@query("developer_sentiment_unreviewed", ctes("reviews", "catalog") + """
+    SELECT developer, count(*) FILTER (sentiment_analysis = 0) AS negative,
+        count(*) FILTER (sentiment_analysis = 2) AS positive
+    FROM catalog LEFT JOIN reviews ON item_id = id AND NOT starts_with(developer, 'Brand#1') GROUP BY developer""")
+def _(t: Tables) -> DataFrame:
+    without = t.catalog().filter(F.col("developer").startswith("Brand#1")).select(F.col("id").alias("item_id"))
+    return views.developer_sentiments(t.catalog(), t.reviews().join(without, "item_id", "left_anti"))
+
+
 @query("developer_sentiment_one", ctes("reviews", "catalog") + _VOTES + """
     , one AS (SELECT CAST(sum(negative) AS BIGINT) AS negative, CAST(sum(positive) AS BIGINT) AS positive
         FROM votes WHERE contains(developer, 'Brand#2'))

@@ -130,14 +130,13 @@ def _(t: Tables) -> DataFrame:
 @query("cast_columns", ctes("catalog_raw", "reviews") + """
     , numbered AS (SELECT url, TRY_CAST(id AS BIGINT) AS id, TRY_CAST(price AS DOUBLE) AS price
         FROM catalog_raw)
-    SELECT url, id, price, CAST(price AS INTEGER) AS whole, CAST(id % 2 = 0 AS INTEGER) AS even
-    FROM numbered WHERE price IS NULL OR price = floor(price)""")
+    SELECT url, id, price, CAST(trunc(price) AS INTEGER) AS whole, CAST(id % 2 = 0 AS INTEGER) AS even
+    FROM numbered""")
 def _(t: Tables) -> DataFrame:
     numbered = t.catalog_raw().select(
         "url", F.col("id").try_cast("bigint").alias("id"), F.col("price").try_cast("double").alias("price")
     )
-    whole = numbered.filter(F.col("price").isNull() | (F.col("price") == F.floor("price")))
-    return whole.select(
+    return numbered.select(
         "*", F.col("price").cast("int").alias("whole"), (F.col("id") % 2 == 0).cast("int").alias("even")
     )
 

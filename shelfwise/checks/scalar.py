@@ -175,12 +175,16 @@ def _(t: Tables) -> DataFrame:
 
 
 _TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+_NAMES = ["anvil", "blue", "bolt", "cold", "gear", "gizmo", "hot", "large", "new", "old", "plate", "red",
+          "ring", "rod", "small", "widget"]
 
 
 @query("one_hot_array", ctes("catalog") + "SELECT id, " + ", ".join(
-    f"CAST(list_contains(genres, '{v}') AS INTEGER) AS is_{v}" for v in _TYPES) + " FROM catalog")
+    f"CAST(list_contains(genres, '{v}') AS INTEGER) AS {prefix}{v}"
+    for prefix, values in (("type_", _TYPES), ("name_", _NAMES)) for v in values) + " FROM catalog")
 def _(t: Tables) -> DataFrame:
-    return fn.one_hot_array(t.catalog().select("id", "genres"), "genres", _TYPES, "is_").drop("genres")
+    types = fn.one_hot_array(t.catalog().select("id", "genres"), "genres", _TYPES, "type_")
+    return fn.one_hot_array(types, "genres", _NAMES, "name_").drop("genres")
 
 
 @query("build_year_map", ctes("interactions") + """

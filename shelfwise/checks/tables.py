@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.sources import spread_few_files
-
 FIRST_YEAR = 1995
 
 
@@ -24,8 +22,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def texts(self, name: str) -> DataFrame:
-        """A table of texts, spread over the cores if it lies in few files."""
-        return spread_few_files(self.read(name))
+        """A table of texts."""
+        return self.read(name)
 
     def catalog(self) -> DataFrame:
         """One item per part; the words of its name and its type are its genres."""

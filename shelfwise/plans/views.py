@@ -112,9 +112,18 @@ def best_developers_by_year(catalog: DataFrame, reviews: DataFrame) -> DataFrame
     return best.select("release_date", "developer", "score")
 
 
+def _sentiments(catalog: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
+    """Negative and positive reviews per group of catalog items, 0 and 0 for one without reviews."""
+    items = catalog.select(F.col("id").alias("item_id"), key)
+    votes = items.join(_item_votes(reviews), "item_id", "left")
+    return votes.groupBy(key).agg(
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("negative", "positive")]
+    )
+
+
 def developer_sentiments(catalog: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Negative and positive reviews of every developer."""
-    return developer_votes(catalog, reviews, "developer").select("developer", "negative", "positive")
+    """Negative and positive reviews of every developer of the catalog."""
+    return _sentiments(catalog, reviews, "developer")
 
 
 def developer_sentiment(
@@ -122,8 +131,7 @@ def developer_sentiment(
 ) -> DataFrame:
     """Negative and positive reviews of one developer; no row if the developer is unknown."""
     items = _of_developer(catalog, developer, match).withColumn("asked", title_case(F.lit(developer)))
-    votes = developer_votes(items, reviews, "asked")
-    return votes.select(
+    return _sentiments(items, reviews, "asked").select(
         F.col("asked").alias("developer"), "negative", "positive",
         F.concat(F.lit("Negative = "), F.col("negative")).alias("negative_text"),
         F.concat(F.lit("Positive = "), F.col("positive")).alias("positive_text"),

@@ -5,7 +5,6 @@ from shelfwise.sources.readers import (
     scan_lexicon,
     scan_literal_lines,
     scan_parquet,
-    spread_few_files,
 )
 from shelfwise.sources.scratch import scratch_path
 from shelfwise.sources.writers import write_csv_gz, write_json_gz, write_parquet
@@ -18,7 +17,6 @@ __all__ = [
     "scan_literal_lines",
     "scan_parquet",
     "scratch_path",
-    "spread_few_files",
     "write_csv_gz",
     "write_json_gz",
     "write_parquet",

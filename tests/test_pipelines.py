@@ -150,3 +150,13 @@ def test_reports_at_both_grains(shop):
     assert rows(reports.counts_by_year(doubled, grain="item")) == [(2010, 2), (2011, 1)]
     assert rows(reports.genre_counts(doubled, grain="item")) == [
         ("Action", 1), ("Indie", 1), ("RPG", 2), ("Rpg", 1)]
+
+
+def test_a_developer_without_reviews_has_none_of_either_kind(spark):
+    catalog = spark.createDataFrame([(1, "Acme"), (2, "Other")], "id bigint, developer string")
+    reviews = spark.createDataFrame([("u", 2, True, 2)], schemas.REVIEWS)
+    assert {tuple(r) for r in views.developer_sentiments(catalog, reviews).collect()} == {
+        ("Acme", 0, 0), ("Other", 0, 1)}
+    acme = views.developer_sentiment(catalog, reviews, "acme").collect()
+    assert [(r.developer, r.negative, r.positive) for r in acme] == [("Acme", 0, 0)]
+    assert views.developer_sentiment(catalog, reviews, "nobody").collect() == []

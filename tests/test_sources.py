@@ -15,7 +15,7 @@ def record(review):
 @pytest.mark.parametrize("text", [
     "plain", "it's", 'a "quote"', "both ' and \"", "line\nbreak\ttab", "no\xa0break", "back\\slash",
     "\\\\xa0 stays", "True", "': True, 'x': None}", "'recommend': False}", "emoji 🎮 and ★", "", "\x07\x1b",
-    "ends with \\", "x" * 20000 + "'",
+    "ends with \\", "x" * 20000 + "'", "tag \U000e0001 of \U000e0001\U000f0000 and \\U000e0001", "\xad\U000e0001'",
 ])
 def test_literal_lines_keep_every_text(spark, text):
     df = spark.createDataFrame([(repr(record(text)),)], "value string")
@@ -86,12 +86,28 @@ def test_scratch_lies_below_the_shared_folder(spark):
     assert sources.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
-def test_only_few_files_are_spread(spark, capsys):
-    few, many = sources.scratch_path(spark, "few"), sources.scratch_path(spark, "many")
-    spark.range(100).coalesce(1).write.json(few)
-    spark.range(100).repartition(20).write.json(many)
-    schema = spark.range(1).schema
-    sources.scan_json_lines(spark, few, schema).explain()
-    assert "REBALANCE" in capsys.readouterr().out
-    sources.scan_json_lines(spark, many, schema).explain()
-    assert "Exchange" not in capsys.readouterr().out
+def test_files_that_can_be_split_are_not_spread(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    spark.range(10).write.json(path)
+    rows = sources.scan_json_lines(spark, path, "id bigint")
+    assert "REBALANCE" not in rows._jdf.queryExecution().executedPlan().toString()
+    spark.range(10).write.option("compression", "gzip").json(f"{path}-gz")
+    rows = sources.scan_json_lines(spark, f"{path}-gz/*.gz", "id bigint")
+    assert "REBALANCE" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_gzip_feed_is_spread_after_the_scan(spark, tmp_path):
+    path = str(tmp_path / "feed")
+    rows = spark.range(2000).select(F.concat(F.lit("{'user_id': '"), F.sha2(F.col("id").cast("string"), 512), F.lit("', 'reviews': []}")).alias("value"))
+    rows.coalesce(1).write.option("compression", "gzip").text(path)
+    small = {"advisoryPartitionSizeInBytes": "4k", "coalescePartitions.minPartitionSize": "1k"}
+    for name, size in small.items():
+        spark.conf.set(f"spark.sql.adaptive.{name}", size)
+    try:
+        plan = sources.scan_literal_lines(spark, f"{path}/*.gz", schemas.REVIEWS_RAW)
+        assert "REBALANCE_PARTITIONS" in plan._jdf.queryExecution().executedPlan().toString()
+        assert plan.select("user_id").rdd.getNumPartitions() > 1
+        assert plan.filter("user_id is not null").count() == 2000
+    finally:
+        for name in small:
+            spark.conf.unset(f"spark.sql.adaptive.{name}")
