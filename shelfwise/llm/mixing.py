@@ -57,8 +57,8 @@ def _closest_subset(sizes: np.ndarray, counts: np.ndarray, wanted: int) -> dict[
     Bounded knapsack over sums: bit s of an integer tells whether s can be reached. Each size comes in
     parts of one, two, four ... rows, so that any number of rows is a choice of parts.
     """
-    usable = [(int(s), min(int(c), wanted // int(s) + 1)) for s, c in zip(sizes, counts, strict=True) if c > 0]
-    limit = wanted + min((s for s, _ in usable), default=0)
+    limit = 2 * wanted  # nothing at all is as close as what lies beyond
+    usable = [(int(s), min(int(c), limit // int(s))) for s, c in zip(sizes, counts, strict=True)]
     mask, reach, steps = (1 << limit + 1) - 1, 1, []
     for size, count in usable:
         part = 1
