@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.words import split_words, window_hashes
+from shelfwise.llm.words import settled, split_words, window_hashes
 
 def _repeated_words(ordered: str) -> Column:
     """Words in a window of three that is found twice: their windows lie side by side once sorted.
@@ -62,7 +62,9 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
         "n_marks": F.char_length("body") - F.char_length(F.replace("body", F.lit("!"), F.lit(""))),
         "n_stops": F.size(F.filter("words", lambda w: w.endswith(".") | w.endswith("?") | w.endswith("!"))),
     }
-    return ordered.select("row", *[c.cast("long").alias(n) for n, c in counts.items()]).withColumn(
+    # Settled, so that a filter on the counts does not have them counted again.
+    counted = settled(ordered.select("row", *[c.cast("long").alias(n) for n, c in counts.items()]))
+    return counted.withColumn(
         "base_failed",
         (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
     )
