@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import os
 import re
-import string
 import sys
 import unicodedata
 from collections.abc import Iterator
+from itertools import compress, pairwise
+from operator import not_
 from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,8 +25,10 @@ from shelfwise.llm.words import row_key
 CHUNK_BITS = 8
 RANK_EVERY = 512
 SHARD_TOKENS = 1 << 22
-#: Words, and parts of words, whose ids an encoder remembers; beyond that it forgets all at once.
+#: Words, and parts of words, whose ids an encoder remembers; beyond that it forgets all but the words at hand.
 REMEMBERED = 400_000
+#: Stands between the ids of words; no place in the codes of ids reads like it, for their upper bytes are zero.
+BREAK = b"\xff\xff\xff\xff"
 
 SHARD = (
     "part int, shard int, doc_ids array<bigint>, sizes array<bigint>, n_tokens long, "
@@ -124,15 +128,14 @@ class WordEncoder:
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith(ends)]] = True
-        # Python and the tokenizer differ on some of these; texts that have them are encoded whole.
-        self.other_spaces = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+        # White space to the tokenizer or to Unicode, but not in ASCII; texts that have any are encoded whole.
+        self.other_spaces = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
         # Words with other characters, or a special token, go through the whole tokenizer.
         self.odd = re.compile("[^\x20-\x7e\xa1-\u024f]|<\\|")
-        self.marks = set(string.punctuation)
-        self.cut = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.cut = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\\n")
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"\n": BREAK}
         # The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
@@ -153,43 +156,45 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         rest = {w for w in words if self.odd.search(w)} if self.odd.search(" ".join(words)) else set()
         plain = [w for w in words if w not in rest] if rest else words
-        cuts = []
-        for w in unicodedata.normalize("NFC", "\n".join(plain)).lower().split("\n") if plain else []:
-            if w.isalpha():
-                cuts.append((w,))
-            elif w[-1] in self.marks and w[:-1].isalpha():
-                cuts.append((w[:-1], w[-1]))
-            else:
-                cuts.append(self.cut.findall(w))
+        lower = unicodedata.normalize("NFC", "\n".join(plain)).lower().split("\n") if plain else []
+        # A word of letters is one part; all others are cut together, line breaks kept between them.
+        one = list(map(str.isalpha, lower))
+        more = list(map(not_, one))
+        letters, cut = list(compress(lower, one)), self.cut.findall("\n".join(compress(lower, more)))
         parts = self.parts
-        self._learn_parts(list({p for c in cuts for p in c}.difference(parts)))
-        self.known.update(
-            (w, parts[c[0]] if len(c) == 1 else b"".join([parts[p] for p in c]))
-            for w, c in zip(plain, cuts, strict=True)
-        )
+        self._learn_parts(list({*letters, *cut}.difference(parts)))
+        self.known.update(zip(compress(plain, one), map(parts.__getitem__, letters), strict=True))
+        if len(letters) < len(plain):
+            codes = b"".join(map(parts.__getitem__, cut)).split(BREAK)
+            self.known.update(zip(compress(plain, more), codes, strict=True))
         rest = list(rest)
         for start in range(0, len(rest), 256):
             some = rest[start:start + 256]
             for w, e in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian 32-bit integers."""
-        plain = [t if t and not self.other_spaces.search(t) else "" for t in texts]
-        words = [t.split() for t in plain]
+        texts = (pa.array(texts, pa.string()) if isinstance(texts, list) else texts).fill_null("")
+        odd = pc.match_substring_regex(texts, self.other_spaces)
+        split = pc.ascii_split_whitespace(pc.if_else(odd, "", texts))
+        words = split.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known = {w: self.known[w] for w in names if w in self.known}
         if len(self.parts) > REMEMBERED:
-            self.parts = {}
-        new = list(set().union(*words).difference(self.known))
+            self.parts = {"\n": BREAK}
+        new = [w for w in names if w not in self.known]
         if new:
             self._learn(new)
-        look_up = self.known.__getitem__
-        ids = [b"".join(map(look_up, ws)) + self.end for ws in words]
-        for i, (text, cut) in enumerate(zip(texts, plain, strict=True)):
-            if text and not cut:
-                whole = self.whole.encode(text, add_special_tokens=False).ids
-                ids[i] = np.array(whole, "<u4").tobytes() + self.end
+        # 64-bit places: the ids of a batch may take more bytes than its texts.
+        codes = pa.array(list(map(self.known.__getitem__, names)), pa.large_binary()).take(words.indices)
+        places = np.frombuffer(codes.buffers()[1], "<i8", len(codes) + 1) if len(codes) else np.zeros(1, "<i8")
+        cuts, data = places[split.offsets.to_numpy()].tolist(), memoryview(codes.buffers()[2] or b"")
+        ids = [bytes(data[i:j]) + self.end for i, j in pairwise(cuts)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            whole = self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids
+            ids[i] = np.array(whole, "<u4").tobytes() + self.end
         return ids
 
 
@@ -229,9 +234,9 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int |
             )
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                some = batch.slice(start, 512)
-                for name, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
+            for start in range(0, batch.num_rows, 2048):
+                some = batch.slice(start, 2048)
+                for name, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1)), strict=True):
                     names.append(name)
                     sizes.append(len(ids) // 4)
                     codes.append(ids)
@@ -265,7 +270,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(sizes)
                 for low in range(0, len(sizes), 1024):
                     own = slice(low, low + 1024)
-                    ids = [reader.slice(e - n, e).astype("<u4").tobytes() for e, n in zip(ends[own], sizes[own], strict=True)]
+                    first = int(ends[low] - sizes[low])
+                    codes = reader.slice(first, int(ends[own][-1])).astype("<u4").tobytes()
+                    cuts = (4 * (np.concatenate(([first], ends[own])) - first)).tolist()
+                    ids = [codes[i:j] for i, j in pairwise(cuts)]
                     yield pa.RecordBatch.from_arrays(
                         [row["doc_ids"].values[own], pa.array(row["start"].as_py() + ends[own] - sizes[own]),
                          pa.array(ids, pa.binary())],
