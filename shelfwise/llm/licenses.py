@@ -141,9 +141,9 @@ class Classifier:
                 sums[k] = sums.get(k, self.intercepts[k]) + x
         if not sums:
             return 0, 0.0
-        chances = {k: float(sigmoid(np.array(self.slopes[k] * z + self.shifts[k]))) for k, z in sums.items()}
-        k = min(chances, key=lambda i: (-chances[i], i))
-        return k, chances[k]
+        scaled = {k: self.slopes[k] * z + self.shifts[k] for k, z in sums.items()}
+        k = min(scaled, key=lambda i: (-scaled[i], i))
+        return k, float(sigmoid(np.array(scaled[k])))
 
 
 def _fit(templates: dict[str, list[str]], folds: int, penalty: float):
