@@ -1,8 +1,12 @@
-"""Licence notices: a paragraph classifier whose findings are confirmed by comparing templates."""
+"""Licence notices: a classifier of passages whose findings are confirmed by comparing templates.
+
+Lines between lines without words are a block, and a notice may be wrapped over its lines.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -103,8 +107,18 @@ def features_of(words: list[str]) -> set[str]:
     return {*words, *map(" ".join, zip(words, words[1:], strict=False))}
 
 
-def paragraphs(text: str | None) -> list[str]:
-    return (text or "").split("\n")
+def blocks(text: str | None) -> Iterator[tuple[list[str], list[int]]]:
+    """The words of each run of lines that have words, and the number of the line each word is in."""
+    words, lines = [], []
+    for i, line in enumerate((text or "").split("\n")):
+        new = words_of(line)
+        if words and not new:
+            yield words, lines
+            words, lines = [], []
+        words += new
+        lines += [i] * len(new)
+    if words:
+        yield words, lines
 
 
 def _triples(words: list[str]) -> set[tuple[str, ...]]:
@@ -133,10 +147,16 @@ class Classifier:
     slopes: list[float]
     shifts: list[float]
 
-    def best(self, words: list[str]) -> tuple[int, float]:
-        """The likeliest family and its calibrated probability."""
+    def hits(self, words: list[str]) -> list[tuple[int, int, str]]:
+        """Start, end and name of the words and pairs that have weights, in order."""
+        found = [(i, i + 1, w) for i, w in enumerate(words) if w in self.weights]
+        pairs = map(" ".join, zip(words, words[1:], strict=False))
+        return sorted(found + [(i, i + 2, p) for i, p in enumerate(pairs) if p in self.weights])
+
+    def best(self, names: set[str]) -> tuple[int, float]:
+        """The likeliest family of a passage with these words and pairs, and its calibrated probability."""
         sums: dict[int, float] = {}
-        for f in features_of(words) & self.weights.keys():
+        for f in names & self.weights.keys():
             for k, x in self.weights[f].items():
                 sums[k] = sums.get(k, self.intercepts[k]) + x
         if not sums:
@@ -146,6 +166,57 @@ class Classifier:
         return k, float(sigmoid(np.array(scaled[k])))
 
 
+class Comparison:
+    """Finds the passages that have ``confirmed`` of a template's word triples."""
+
+    def __init__(self, families: list[str], templates: dict[str, list[str]], confirmed: float) -> None:
+        self.confirmed, self.longest = confirmed, 1
+        self.triples = [[_triples(words_of(t)) for t in templates[f]] for f in families]
+        self.of: list[int] = []
+        self.sizes: list[int] = []
+        self.reach: list[int] = []
+        self.index: dict[int, dict[str, list[int]]] = {}
+        for k, family in enumerate(families):
+            for words in map(words_of, templates[family]):
+                grams = _triples(words)
+                for g in grams:
+                    self.index.setdefault(len(g), {}).setdefault(" ".join(g), []).append(len(self.of))
+                self.of.append(k)
+                self.sizes.append(len(grams))
+                self.reach.append(len(words) + len(words) // 2)
+                self.longest = max(self.longest, len(words))
+
+    def likeness(self, words: list[str], family: int) -> float:
+        """The largest share of triples of a family's templates that the words have."""
+        return max(resemblance(words, t) for t in self.triples[family])
+
+    def passages(self, words: list[str]) -> list[tuple[float, int, int, int]]:
+        """Share of the triples, start, end and family of the passages that are like a template, the most like first."""
+        places: dict[int, list[tuple[int, int, str]]] = {}
+        for size, index in self.index.items():
+            for i, gram in enumerate(map(" ".join, zip(*(words[j:] for j in range(size)), strict=False))):
+                for t in index.get(gram, ()):
+                    places.setdefault(t, []).append((i, i + size, gram))
+        found = []
+        for t, at in places.items():
+            if len(at) < self.confirmed * self.sizes[t]:
+                continue
+            inside: Counter[str] = Counter()
+            first = 0
+            for _, end, gram in at:
+                inside[gram] += 1
+                # What is too far back, or comes again later, does not belong to the passage.
+                while at[first][0] < end - self.reach[t] or inside[at[first][2]] > 1:
+                    inside[at[first][2]] -= 1
+                    if not inside[at[first][2]]:
+                        del inside[at[first][2]]
+                    first += 1
+                share = len(inside) / self.sizes[t]
+                if share >= self.confirmed:
+                    found.append((share, at[first][0], end, self.of[t]))
+        return sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1], x[3]))
+
+
 def _fit(templates: dict[str, list[str]], folds: int, penalty: float):
     families = sorted(templates)
 
@@ -215,33 +286,64 @@ def fit_classifier(documents: DataFrame, templates: dict[str, list[str]] = TEMPL
     return Classifier(families, weights, numbers["intercept"], numbers["slope"], numbers["shift"])
 
 
+def find_notices(text: str | None, classifier: Classifier, comparison: Comparison, least: float) -> list[dict]:
+    """Place (the line it begins in), family, probability and resemblance of each notice of a text."""
+    found = []
+    for words, lines in blocks(text):
+        hits = classifier.hits(words)
+        if not hits:
+            continue
+        starts = [h[0] for h in hits]
+        taken = bytearray(len(words))
+
+        def judge(a: int, b: int, hits=hits, starts=starts, taken=taken) -> tuple[int, float]:
+            own = hits[bisect_left(starts, a):bisect_left(starts, b)]
+            return classifier.best({f for i, j, f in own if j <= b and not any(taken[i:j])})
+
+        def note(a: int, b: int, place: int, family: str, p: float, like: float, taken=taken, lines=lines) -> None:
+            taken[a:b] = b"\1" * (b - a)
+            found.append({"place": lines[place], "family": family, "probability": p, "resemblance": like})
+
+        for like, a, b, family in comparison.passages(words):
+            if not any(taken[a:b]):
+                k, p = judge(a, b)
+                if k == family and p >= least:
+                    note(a, b, a, classifier.families[k], p, like)
+        # What is left is probably a notice but confirmed by no template: windows that hold the longest notice
+        # whole, wherever it begins, then single lines.
+        step = comparison.longest
+        windows = [(a, min(a + 2 * step, len(words))) for a in range(0, max(1, len(words) - step), step)]
+        edges = [0, *(i for i in range(1, len(words)) if lines[i] != lines[i - 1]), len(words)]
+        for units in (windows, list(zip(edges, edges[1:], strict=False))):
+            likely = [(p, k, a, b) for a, b in units for k, p in [judge(a, b)] if p >= least]
+            for _, _, a, b in sorted(likely, key=lambda x: (-x[0], x[2])):
+                k, p = judge(a, b)
+                if p >= least:
+                    own = [h for h in hits[bisect_left(starts, a):bisect_left(starts, b)]
+                           if h[1] <= b and not any(taken[h[0]:h[1]])]
+                    place = max(own, key=lambda h: (classifier.weights[h[2]].get(k, 0.0), -h[0]))[0]
+                    like = comparison.likeness(words[a:b], k)
+                    note(a, b, place, UNKNOWN, p, like)
+    return sorted(found, key=lambda n: n["place"])
+
+
 def scan_licenses(documents: DataFrame, classifier: Classifier, templates: dict[str, list[str]] = TEMPLATES,
                   least: float = 0.5, confirmed: float = CONFIRMED) -> DataFrame:
     """``doc_id`` and ``notices`` of every row: place, family, probability and resemblance of each notice.
 
-    Every line of every text is classified. One that is probably of a family is compared with that family's
-    notices; if it has ``confirmed`` of the word triples of one, the family stands, else the line is a notice of
-    an ``unknown`` licence. All other lines are no notice. A NULL or empty text has none; repeated rows
-    are each scanned.
+    Every block of every text is read, joined over its lines. A passage that is probably of a family and has
+    ``confirmed`` of the word triples of one of its templates is that family's; of passages that overlap, the
+    one most like its template. What is probably of a family otherwise, in windows or lines of the block, is a
+    notice of an ``unknown`` licence. All else is no notice. A NULL or empty text has none; repeated rows are
+    each scanned.
     """
-    known = [[_triples(words_of(t)) for t in templates[f]] for f in classifier.families]
+    comparison = Comparison(classifier.families, templates, confirmed)
     kind = documents.schema["doc_id"].dataType.simpleString()
     notice = pa.struct([("place", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("resemblance", pa.float64())])
 
-    def notices(text: str | None) -> list[dict]:
-        found = []
-        for i, line in enumerate(paragraphs(text)):
-            words = words_of(line)
-            k, p = classifier.best(words) if words else (0, 0.0)
-            if p >= least:
-                like = max(resemblance(words, t) for t in known[k])
-                family = classifier.families[k] if like >= confirmed else UNKNOWN
-                found.append({"place": i, "family": family, "probability": p, "resemblance": like})
-        return found
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [notices(t.as_py()) for t in batch.column(1)]
+            found = [find_notices(t.as_py(), classifier, comparison, least) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.list_(notice))], names=["doc_id", "notices"]
             )

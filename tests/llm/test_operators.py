@@ -336,3 +336,36 @@ def test_logistic_regression_separates():
 def test_kept_text_digest(docs):
     text = substrings.remove_repeats(docs).select(F.sha2(F.col("kept"), 256).alias("d"), "kept").first()
     assert text.d == hashlib.sha256(text.kept.encode()).hexdigest()
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+
+
+def commented(text, mark):
+    return "\n".join(f"{mark} {line}" for line in text.split("\n"))
+
+
+def test_wrapped_licences(spark, docs):
+    rows = [
+        (0, f"Copyright (c) 2020 The Authors\n\n{MIT}\n\nThe above copyright notice", [(2, "MIT")]),
+        (1, f"#!/bin/sh\n#\n{commented(GPL, '#')}\n#\necho", [(2, "GPL-3.0")]),
+        (2, f"/*\n * Copyright 2020 The Authors\n *\n{commented(BSD, ' *')}\n */\n{prose(30)}", [(3, "BSD-3-Clause")]),
+        # No line without words between notice and prose, and more prose than a window has.
+        (3, f"{prose(200)}\n{GPL}\n{prose(200)}\n{commented(MIT, '//')}\n{prose(150)}", [(1, "GPL-3.0"), (6, "MIT")]),
+        (4, f"{prose(67)}\n{prose(60)}\n{MIT}\n{GPL}", [(2, "MIT"), (8, "GPL-3.0")]),
+    ]
+    classifier = licenses.fit_classifier(docs.select("doc_id", "text"))
+    texts = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    found = licenses.scan_licenses(texts, classifier).collect()
+    assert {r.doc_id: [(n.place, n.family) for n in r.notices] for r in found} == {r[0]: r[2] for r in rows}
