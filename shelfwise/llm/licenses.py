@@ -27,6 +27,8 @@ PENALTY = 2e-4
 FOLDS = 4
 CONFIRMED = 0.6
 UNKNOWN = "unknown"
+#: Words around notices that are none themselves.
+AROUND = ["copyright", "the", "authors"], ["see", "the", "file", "for", "details"]
 
 #: Customary notices of each family.
 TEMPLATES: dict[str, list[str]] = {
@@ -95,6 +97,39 @@ TEMPLATES: dict[str, list[str]] = {
     ],
 }
 
+#: Notices of families that are not told apart: they show the model what a notice of no listed family looks like.
+UNLISTED: dict[str, list[str]] = {
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and "
+             "to alter it and redistribute it freely, subject to the following restrictions:"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public "
+                "License 2.0 which is available at"],
+    "EUPL-1.2": ["Licensed under the EUPL, Version 1.2 or later."],
+    "Artistic-2.0": ["You may redistribute and modify it under the terms of the Artistic License 2.0."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "WTFPL": ["This work is free. You can redistribute it and/or modify it under the terms of the Do What The Fuck You "
+              "Want To Public License, Version 2."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "CDDL-1.0": ["The contents of this file are subject to the terms of the Common Development and Distribution License."],
+    "MS-PL": ["This source is subject to the Microsoft Public License."],
+    "OFL-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
+    "PSF": ["Licensed to PSF under a Contributor Agreement."],
+    "ODbL-1.0": ["This database is made available under the Open Database License."],
+    "GFDL": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free "
+             "Documentation License."],
+    "CC-BY-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "Proprietary": ["This software is proprietary and may not be copied, distributed or modified without the written "
+                    "permission of the copyright holder."],
+}
+
+#: Words that tell families with like notices apart, by what they stand for.
+MARKS = {
+    "sa": "sa", "sharealike": "sa", "nc": "nc", "noncommercial": "nc", "nd": "nd", "noderivatives": "nd",
+    "noderivs": "nd", "lesser": "lesser", "affero": "affero",
+}
+_NUMBER = re.compile(r"v?(\d+(?:\.\d+)*?)(?:\.0)*")
+
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 
@@ -130,22 +165,38 @@ def resemblance(words: list[str], template: set[tuple[str, ...]]) -> float:
     return len(_triples(words) & template) / len(template)
 
 
+def marks_of(words: list[str]) -> set[str]:
+    """The words that tell families with like notices apart."""
+    library = {"lesser"} if ("gnu", "library") in zip(words, words[1:], strict=False) else set()
+    return library | {MARKS[w] for w in words if w in MARKS}
+
+
+def versions_of(words: list[str]) -> set[str]:
+    """Version numbers, without zeros at their end."""
+    return {m[1] for m in map(_NUMBER.fullmatch, words) if m}
+
+
 def _variants(template: str) -> list[list[str]]:
     """A notice as it stands, with words before and after it, and without its first or last word."""
     words = words_of(template)
-    around = ["copyright", "the", "authors"], ["see", "the", "file", "for", "details"]
-    return [words, around[0] + words, words + around[1], around[0] + words + around[1], words[1:], words[:-1]]
+    before, after = AROUND
+    return [words, before + words, words + after, before + words + after, words[1:], words[:-1]]
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """For each family the weights of words and pairs, an intercept, and the scale that calibrates it."""
+    """The weights of words and pairs and an intercept for each family and, last, for notices of any licence.
+
+    The scale turns the last one's score into the probability that a passage is a notice, and what has less
+    than ``threshold`` is none. Both are set by notices of families that the model had not seen.
+    """
 
     families: list[str]
     weights: dict[str, dict[int, float]]
     intercepts: list[float]
-    slopes: list[float]
-    shifts: list[float]
+    slope: float
+    shift: float
+    threshold: float
 
     def hits(self, words: list[str]) -> list[tuple[int, int, str]]:
         """Start, end and name of the words and pairs that have weights, in order."""
@@ -154,20 +205,20 @@ class Classifier:
         return sorted(found + [(i, i + 2, p) for i, p in enumerate(pairs) if p in self.weights])
 
     def best(self, names: set[str]) -> tuple[int, float]:
-        """The likeliest family of a passage with these words and pairs, and its calibrated probability."""
-        sums: dict[int, float] = {}
+        """The likeliest family of a passage with these words and pairs, and the probability that it is a notice."""
+        last = len(self.families)
+        sums = [0.0] * (last + 1)
         for f in names & self.weights.keys():
             for k, x in self.weights[f].items():
-                sums[k] = sums.get(k, self.intercepts[k]) + x
-        if not sums:
+                sums[k] += x
+        if sums[last] <= 0:  # nothing speaks for a notice
             return 0, 0.0
-        scaled = {k: self.slopes[k] * z + self.shifts[k] for k, z in sums.items()}
-        k = min(scaled, key=lambda i: (-scaled[i], i))
-        return k, float(sigmoid(np.array(scaled[k])))
+        k = max(range(last), key=lambda i: (sums[i] + self.intercepts[i], -i), default=0)
+        return k, float(sigmoid(np.array(self.slope * (sums[last] + self.intercepts[last]) + self.shift)))
 
 
 class Comparison:
-    """Finds the passages that have ``confirmed`` of a template's word triples."""
+    """Finds the passages that have ``confirmed`` of a template's word triples, its marks and its version."""
 
     def __init__(self, families: list[str], templates: dict[str, list[str]], confirmed: float) -> None:
         self.confirmed, self.longest = confirmed, 1
@@ -175,13 +226,17 @@ class Comparison:
         self.of: list[int] = []
         self.sizes: list[int] = []
         self.reach: list[int] = []
+        self.words: list[list[str]] = []
+        self.starts: dict[int, dict[str, set[str]]] = {}
         self.index: dict[int, dict[str, list[int]]] = {}
         for k, family in enumerate(families):
             for words in map(words_of, templates[family]):
                 grams = _triples(words)
                 for g in grams:
+                    self.starts.setdefault(len(g), {}).setdefault(g[0], set()).update(g[1:2])
                     self.index.setdefault(len(g), {}).setdefault(" ".join(g), []).append(len(self.of))
                 self.of.append(k)
+                self.words.append(words)
                 self.sizes.append(len(grams))
                 self.reach.append(len(words) + len(words) // 2)
                 self.longest = max(self.longest, len(words))
@@ -190,13 +245,30 @@ class Comparison:
         """The largest share of triples of a family's templates that the words have."""
         return max(resemblance(words, t) for t in self.triples[family])
 
+    def agrees(self, t: int, words: list[str], a: int, b: int) -> bool:
+        """Whether a passage has the template's marks and version and no others.
+
+        Where the template goes on before or after the passage, so does the part that is looked at.
+        """
+        template = self.words[t]
+        if words[a] != template[0]:
+            a = max(0, a - 1 - template.index(words[a]))
+        if words[b - 1] != template[-1]:
+            b += 3 + template[::-1].index(words[b - 1])
+        own, versions = words[a:b], versions_of(template)
+        return marks_of(own) == marks_of(template) and (not versions or versions_of(own) == versions)
+
     def passages(self, words: list[str]) -> list[tuple[float, int, int, int]]:
         """Share of the triples, start, end and family of the passages that are like a template, the most like first."""
         places: dict[int, list[tuple[int, int, str]]] = {}
         for size, index in self.index.items():
-            for i, gram in enumerate(map(" ".join, zip(*(words[j:] for j in range(size)), strict=False))):
-                for t in index.get(gram, ()):
-                    places.setdefault(t, []).append((i, i + size, gram))
+            starts = self.starts[size]
+            for i, w in enumerate(words):
+                # Few pairs of neighbours begin a triple; only those are joined.
+                if w in starts and (size == 1 or i + size <= len(words) and words[i + 1] in starts[w]):
+                    gram = " ".join(words[i:i + size])
+                    for t in index.get(gram, ()):
+                        places.setdefault(t, []).append((i, i + size, gram))
         found = []
         for t, at in places.items():
             if len(at) < self.confirmed * self.sizes[t]:
@@ -212,25 +284,26 @@ class Comparison:
                         del inside[at[first][2]]
                     first += 1
                 share = len(inside) / self.sizes[t]
-                if share >= self.confirmed:
+                if share >= self.confirmed and self.agrees(t, words, at[first][0], end):
                     found.append((share, at[first][0], end, self.of[t]))
         return sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1], x[3]))
 
 
-def _fit(templates: dict[str, list[str]], folds: int, penalty: float):
+def _fit(templates: dict[str, list[str]], unlisted: dict[str, list[str]], folds: int, penalty: float):
     families = sorted(templates)
 
     def fit(sample: pd.DataFrame) -> pd.DataFrame:
-        known = [_triples(words_of(t)) for f in families for t in templates[f]]
+        notices = [templates[f] for f in families] + [unlisted[f] for f in sorted(unlisted)]
+        known = [_triples(words_of(t)) for ts in notices for t in ts]
         rows, of, fold = [], [], []
-        for k, family in enumerate(families):
-            for t in templates[family]:
-                for i, words in enumerate(_variants(t)):
-                    rows.append(features_of(words))
-                    of.append(k)
-                    fold.append(i % folds)
-        for i, text in enumerate(sorted(sample["paragraph"].dropna())):
-            words = words_of(text)[:SAMPLE_WORDS]
+        # Whole families are left out of a fold, so that no score is one of a near copy.
+        for k, ts in enumerate(notices):
+            for words in (v for t in ts for v in _variants(t)):
+                rows.append(features_of(words))
+                of.append(k)
+                fold.append(k % folds)
+        ordinary = [words_of(text)[:SAMPLE_WORDS] for text in sorted(sample["paragraph"].dropna())]
+        for i, words in enumerate([*AROUND, *ordinary]):
             if words and max(resemblance(words, t) for t in known) < 0.3:
                 rows.append(features_of(words))
                 of.append(-1)
@@ -241,18 +314,26 @@ def _fit(templates: dict[str, list[str]], folds: int, penalty: float):
         sparse = Rows([sorted(place[f] for f in r if f in place) for r in rows], len(vocabulary))
         of, fold, none = np.array(of), np.array(fold), np.zeros((len(rows), 0))
         out = []
-        for k in range(len(families)):
-            wanted = (of == k).astype(float)
-            unseen = np.zeros(len(rows))
-            for j in range(folds):
-                own = fold == j
-                w, _, b = fit_logistic(sparse.take(~own), none[~own], wanted[~own], penalty)
-                unseen[own] = sparse.take(own).dot(w) + b
+        notice = (of >= 0).astype(float)
+        for k, wanted in enumerate([*((of == k).astype(float) for k in range(len(families))), notice]):
             w, _, b = fit_logistic(sparse, none, wanted, penalty)
-            # Platt's scale on scores of unseen rows.
-            _, slope, shift = fit_logistic(Rows([[]] * len(rows), 1), unseen[:, None], wanted, 0.0, 500)
             out += [(k, "word", vocabulary[i], w[i]) for i in np.flatnonzero(w)]
-            out += [(k, "intercept", "", b), (k, "slope", "", float(slope[0])), (k, "shift", "", shift)]
+            out.append((k, "intercept", "", b))
+        unseen = np.zeros(len(rows))
+        for j in range(folds):
+            own = fold == j
+            w, _, b = fit_logistic(sparse.take(~own), none[~own], notice[~own], penalty)
+            unseen[own] = sparse.take(own).dot(w) + b
+        # Platt's scale on scores of unseen families and rows.
+        _, slope, shift = fit_logistic(Rows([[]] * len(rows), 1), unseen[:, None], notice, 0.0, 500)
+        # The threshold with the best F1 on them, halfway to the next score below, but notices are likelier than not.
+        order = np.argsort(-unseen, kind="stable")
+        right = np.cumsum(notice[order])
+        f1 = 2 * right / (np.arange(1, len(rows) + 1) + notice.sum())
+        f1[:-1][unseen[order][:-1] == unseen[order][1:]] = -1
+        best = int(np.argmax(f1))
+        edges = sigmoid(slope[0] * unseen[order][best:best + 2] + shift)
+        out += [(0, "slope", "", float(slope[0])), (0, "shift", "", shift), (0, "threshold", "", max(0.5, float(edges.mean())))]
         return pd.DataFrame(out, columns=["family", "kind", "name", "value"])
 
     return fit
@@ -260,34 +341,44 @@ def _fit(templates: dict[str, list[str]], folds: int, penalty: float):
 
 def fit_classifier(documents: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
                    sample_paragraphs: int = SAMPLE_PARAGRAPHS, folds: int = FOLDS,
-                   penalty: float = PENALTY) -> Classifier:
-    """One logistic regression for each family, on notices and on a bounded sample of ordinary paragraphs.
+                   penalty: float = PENALTY, unlisted: dict[str, list[str]] = UNLISTED) -> Classifier:
+    """One logistic regression for each family and one for all notices, on notices and a bounded sample of ordinary paragraphs.
 
     The sample, one paragraph each of the documents with the least hash, leaves out what resembles a
-    notice. The scores of unseen rows calibrate the probabilities. Fitted in one task, whose rows are bounded.
+    notice. The scores of families left out of the fit, and of unseen paragraphs, calibrate the probability of
+    a notice and set the threshold. Fitted in one task, whose rows are bounded.
     """
+    lines = F.split("text", "\n")
+    draw = F.xxhash64(F.lit(3), "doc_id", "text")
+    # Any of the lines: first ones alone are no sample of all.
     sample = documents.filter(F.length("text") > 0).select(
-        F.xxhash64(F.lit(3), "doc_id", "text").alias("draw"),
-        F.element_at(F.split("text", "\n"), 1).alias("paragraph"),
+        draw.alias("draw"),
+        F.element_at(lines, (F.pmod(F.xxhash64(draw), F.size(lines)) + 1).cast("int")).alias("paragraph"),
     ).orderBy("draw").limit(sample_paragraphs).select("paragraph")
     # A group of its own, so that there is a model without any paragraph too.
     spark = documents.sparkSession
     rows = sample.union(spark.createDataFrame([(None,)], "paragraph string")).groupBy().applyInPandas(
-        _fit(templates, folds, penalty), "family int, kind string, name string, value double"
+        _fit(templates, unlisted, folds, penalty), "family int, kind string, name string, value double"
     ).collect()  # at most the words and pairs of the notices and the sample
     families = sorted(templates)
-    numbers = {kind: [0.0] * len(families) for kind in ("intercept", "slope", "shift")}
+    intercepts = [0.0] * (len(families) + 1)
+    numbers: dict[str, float] = {}
     weights: dict[str, dict[int, float]] = {}
     for r in rows:
         if r["kind"] == "word":
             weights.setdefault(r["name"], {})[r["family"]] = r["value"]
+        elif r["kind"] == "intercept":
+            intercepts[r["family"]] = r["value"]
         else:
-            numbers[r["kind"]][r["family"]] = r["value"]
-    return Classifier(families, weights, numbers["intercept"], numbers["slope"], numbers["shift"])
+            numbers[r["kind"]] = r["value"]
+    return Classifier(families, weights, intercepts, numbers["slope"], numbers["shift"], numbers["threshold"])
 
 
 def find_notices(text: str | None, classifier: Classifier, comparison: Comparison, least: float) -> list[dict]:
-    """Place (the line it begins in), family, probability and resemblance of each notice of a text."""
+    """Place, family, probability and resemblance of each notice of a text.
+
+    The place is the line a notice begins in, for an unknown one the line of the word that says most.
+    """
     found = []
     for words, lines in blocks(text):
         hits = classifier.hits(words)
@@ -309,7 +400,7 @@ def find_notices(text: str | None, classifier: Classifier, comparison: Compariso
                 k, p = judge(a, b)
                 if k == family and p >= least:
                     note(a, b, a, classifier.families[k], p, like)
-        # What is left is probably a notice but confirmed by no template: windows that hold the longest notice
+        # What else is probably a notice is of no listed family: windows that hold the longest notice
         # whole, wherever it begins, then single lines.
         step = comparison.longest
         windows = [(a, min(a + 2 * step, len(words))) for a in range(0, max(1, len(words) - step), step)]
@@ -321,22 +412,25 @@ def find_notices(text: str | None, classifier: Classifier, comparison: Compariso
                 if p >= least:
                     own = [h for h in hits[bisect_left(starts, a):bisect_left(starts, b)]
                            if h[1] <= b and not any(taken[h[0]:h[1]])]
-                    place = max(own, key=lambda h: (classifier.weights[h[2]].get(k, 0.0), -h[0]))[0]
+                    last = len(classifier.families)
+                    place = max(own, key=lambda h: (classifier.weights[h[2]].get(last, 0.0), -h[0]))[0]
                     like = comparison.likeness(words[a:b], k)
                     note(a, b, place, UNKNOWN, p, like)
     return sorted(found, key=lambda n: n["place"])
 
 
 def scan_licenses(documents: DataFrame, classifier: Classifier, templates: dict[str, list[str]] = TEMPLATES,
-                  least: float = 0.5, confirmed: float = CONFIRMED) -> DataFrame:
+                  least: float | None = None, confirmed: float = CONFIRMED) -> DataFrame:
     """``doc_id`` and ``notices`` of every row: place, family, probability and resemblance of each notice.
 
-    Every block of every text is read, joined over its lines. A passage that is probably of a family and has
-    ``confirmed`` of the word triples of one of its templates is that family's; of passages that overlap, the
-    one most like its template. What is probably of a family otherwise, in windows or lines of the block, is a
-    notice of an ``unknown`` licence. All else is no notice. A NULL or empty text has none; repeated rows are
+    Every block of every text is read, joined over its lines. A passage that is a notice by the classifier, likeliest
+    of a family, and has ``confirmed`` of the word triples of one of its templates and the same marks and version is
+    that family's; of passages that overlap, the one most like its template. What is a notice otherwise, in
+    windows or lines of the block, is one of an ``unknown`` licence. All else is no notice: ``least`` is the least
+    probability of one, by default the classifier's threshold. A NULL or empty text has none; repeated rows are
     each scanned.
     """
+    least = classifier.threshold if least is None else least
     comparison = Comparison(classifier.families, templates, confirmed)
     kind = documents.schema["doc_id"].dataType.simpleString()
     notice = pa.struct([("place", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("resemblance", pa.float64())])

@@ -369,3 +369,18 @@ def test_wrapped_licences(spark, docs):
     texts = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
     found = licenses.scan_licenses(texts, classifier).collect()
     assert {r.doc_id: [(n.place, n.family) for n in r.notices] for r in found} == {r[0]: r[2] for r in rows}
+
+
+def test_unlisted_licences_are_unknown(spark, docs):
+    texts = [
+        "Licensed under CC BY-NC-SA 4.0.", "Licensed under the Academic Free License, version 3.0.",
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+        "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+        "Permission to use, copy, modify and distribute this software and its documentation for any purpose is granted without fee.",
+        "Copyright 2020 The Authors",
+    ]
+    classifier = licenses.fit_classifier(docs.select("doc_id", "text"))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: [n.family for n in r.notices] for r in licenses.scan_licenses(rows, classifier).collect()}
+    assert found == {0: ["unknown"], 1: ["unknown"], 2: ["unknown"], 3: ["unknown"], 4: []}
+    assert 0 < classifier.threshold < 1
