@@ -91,15 +91,19 @@ def fit_chain(documents: DataFrame, labels: DataFrame, categories: list[str], sa
 
     A later category is fitted on out-of-fold probabilities of the earlier ones, so it learns how far they
     are to be trusted on unseen texts; the thresholds come from the same. Features are the different
-    words of a text, those in three texts or more; the penalty leaves most without weight. Labels that are
-    NULL, or of no document, are left out. Without labelled rows nothing is toxic.
+    words of a text, those in three texts or more; the penalty leaves most without weight. Of rows with the same
+    ``doc_id`` the one whose text has the least hash counts. Labels that are NULL, or of no document, are left out. Without labelled rows nothing is toxic.
     """
     chosen = (
         labels.select("doc_id", *categories).dropna().dropDuplicates(["doc_id"])
         .orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample_rows)
     )
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn(
-        "fold", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(folds))
+    # The least text is told before the shuffle, so the rows of a repeated doc_id do not meet in one task.
+    least = F.min(F.struct(F.xxhash64("text").alias("draw"), "text")).alias("least")
+    sample = (
+        documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", *categories).agg(least)
+        .select("doc_id", "least.text", *categories, F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(folds)).alias("fold"))
     )
     fitted = sample.groupBy().applyInPandas(
         _fit(categories, folds, penalty), "category int, kind string, name string, value double"

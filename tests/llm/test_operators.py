@@ -384,3 +384,10 @@ def test_unlisted_licences_are_unknown(spark, docs):
     found = {r.doc_id: [n.family for n in r.notices] for r in licenses.scan_licenses(rows, classifier).collect()}
     assert found == {0: ["unknown"], 1: ["unknown"], 2: ["unknown"], 3: ["unknown"], 4: []}
     assert 0 < classifier.threshold < 1
+
+
+def test_the_chain_counts_a_repeated_document_once(spark):
+    rows = [(i, f"{prose(20)} {'vile' if i % 3 == 0 else 'kind'}") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    once, often = (spark.createDataFrame(r, "doc_id bigint, text string").repartition(3) for r in (rows, rows + rows[:1] * 300))
+    assert toxicity.fit_chain(often, labels, ["toxic"]) == toxicity.fit_chain(once, labels, ["toxic"])
