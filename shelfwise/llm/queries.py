@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import ctw, decontaminate, licenses, mixing, quality, simhash, substrings, token_store, toxicity, url_filter
+from shelfwise.llm import ctw, decontaminate, licenses, mixing, prefix_trie, quality, simhash, substrings, token_store, toxicity, url_filter
 from shelfwise.llm.storage import stored
 from shelfwise.llm.words import split_words
 from shelfwise.sources.scratch import scratch_path
@@ -122,10 +122,16 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt_conversations(_table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_toxicity, op3_token_ids, op4_license_scan, op5_simhash_neardup, op6_substring_dedup, op7_lm_scoring, op8_benchmark_decontamination, op9_url_filter, op10_quality_rules,
+        op13_prefix_trie,
     )
 }
 
@@ -198,5 +204,37 @@ best AS (
     ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
     QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || q) DESC, length(h) DESC) = 1)
 SELECT page_id, host, path, rule, coalesce(said, 'allow') AS verdict FROM p LEFT JOIN best USING (r)
+""",
+    "op13_prefix_trie": r"""
+WITH t AS (
+    SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS n,
+        substr(sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS d
+    FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'d': d, 'n': n} ORDER BY turn NULLS FIRST, d) AS own FROM t GROUP BY conv_id),
+h AS (
+    SELECT conv_id, own, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+            string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [unicode(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 9 AS head
+    FROM o),
+r AS (
+    SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:head], h.own[head + 1:]) AS seq
+    FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (
+    SELECT conv_id, len(seq) AS l, unnest(range(0, len(seq) + 1)) AS d, seq FROM r),
+k AS (
+    SELECT conv_id, l, d, array_to_string(list_transform(seq[1:d], lambda x: x.d), '') AS k,
+        CASE WHEN d > 0 THEN seq[d].n ELSE 0 END AS n
+    FROM p),
+n AS (
+    SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(n) AS saved,
+        coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE l = d), '') AS ends
+    FROM k GROUP BY k, d),
+c AS (SELECT substr(k, 1, 32 * (d - 1)::INT) AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+u AS (
+    SELECT substr(k, 1, 32 * i::INT) AS k, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved) AS saved_tokens
+    FROM (SELECT n.k, n.saved, c.k IS NULL AS leaf, unnest(range(0, d + 1)) AS i FROM n LEFT JOIN c USING (k)) GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+    CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n LEFT JOIN c USING (k) JOIN u USING (k) LEFT JOIN n up ON n.d > 0 AND up.k = substr(n.k, 1, 32 * (n.d - 1)::INT)
 """,
 }
