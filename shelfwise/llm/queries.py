@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import ctw, decontaminate, licenses, mixing, prefix_trie, quality, simhash, substrings, token_store, toxicity, url_filter
+from shelfwise.llm import ctw, decontaminate, lexical_search, licenses, mixing, prefix_trie, quality, simhash, substrings, token_store, toxicity, url_filter
 from shelfwise.llm.storage import stored
 from shelfwise.llm.words import split_words
 from shelfwise.sources.scratch import scratch_path
@@ -122,6 +122,11 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Every distinct prefix of the rebuilt conversations."""
     return prefix_trie.prefix_trie(prefix_trie.rebuilt_conversations(_table(spark, folder, "conversations")))
@@ -131,7 +136,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_toxicity, op3_token_ids, op4_license_scan, op5_simhash_neardup, op6_substring_dedup, op7_lm_scoring, op8_benchmark_decontamination, op9_url_filter, op10_quality_rules,
-        op13_prefix_trie,
+        op11_lexical_search, op13_prefix_trie,
     )
 }
 
@@ -204,6 +209,29 @@ best AS (
     ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
     QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || q) DESC, length(h) DESC) = 1)
 SELECT page_id, host, path, rule, coalesce(said, 'allow') AS verdict FROM p LEFT JOIN best USING (r)
+""",
+    "op11_lexical_search": r"""
+WITH d AS (
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents),
+s AS (SELECT count(*) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM d WHERE len(terms) > 0),
+i AS (
+    SELECT DISTINCT q, item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT *, row_number() OVER () AS q FROM benchmark)),
+c AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d)
+    WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM c, s GROUP BY term, n),
+m AS (SELECT r, doc_id, 10 + (90 * len(terms) * n) // l AS m FROM d, s),
+z AS (
+    SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM i JOIN c USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM z WHERE score > 0 QUALIFY rank <= 10
 """,
     "op13_prefix_trie": r"""
 WITH t AS (
