@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import ctw, decontaminate, lexical_search, licenses, mixing, prefix_trie, quality, simhash, substrings, token_store, toxicity, url_filter
+from shelfwise.llm import ctw, decontaminate, html_text, lexical_search, licenses, mixing, prefix_trie, quality, simhash, substrings, token_store, toxicity, url_filter
 from shelfwise.llm.storage import stored
 from shelfwise.llm.words import split_words
 from shelfwise.sources.scratch import scratch_path
@@ -127,6 +127,11 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op12_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract_text(_table(spark, folder, "pages"))
+
+
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Every distinct prefix of the rebuilt conversations."""
     return prefix_trie.prefix_trie(prefix_trie.rebuilt_conversations(_table(spark, folder, "conversations")))
@@ -136,7 +141,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_toxicity, op3_token_ids, op4_license_scan, op5_simhash_neardup, op6_substring_dedup, op7_lm_scoring, op8_benchmark_decontamination, op9_url_filter, op10_quality_rules,
-        op11_lexical_search, op13_prefix_trie,
+        op11_lexical_search, op12_html_extraction, op13_prefix_trie,
     )
 }
 
