@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -23,7 +23,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/shelfwise/{name}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Give iterative jobs a checkpoint folder if the session has none yet."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_path(spark, "checkpoints"))
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there, and a lost executor costs nothing of it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_table(table: DataFrame) -> None:
+    """Remove a table that ``stored_table`` gave, once nothing reads it any more."""
+    spark = table.sparkSession
+    jvm = spark._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles() if "/shelfwise/" in f}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
