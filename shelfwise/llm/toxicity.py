@@ -22,13 +22,23 @@ PENALTY = 2e-4
 _WORD = re.compile(r"[^\W_]+")
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+#: Letters of a word's beginning, and up to how many different words of a beginning are told apart.
+BEGINNING, MOST_ALIKE = 5, 3
+
+
+def features_of(text: str | None) -> set[str]:
+    """The different words of a text, and beginnings of words with the number of different words that begin so.
+
+    A stem with many endings is met in new forms in new texts, and one such word says less than several.
+    """
+    words = set(_WORD.findall((text or "").lower()))
+    alike = Counter(w[:BEGINNING] for w in words if len(w) > BEGINNING)
+    return words | {f"{b}*{n}" for b, found in alike.items() for n in range(1, min(found, MOST_ALIKE) + 1)}
 
 
 @dataclass(frozen=True)
 class Chain:
-    """For each category its words' weights, the weights of the earlier probabilities, and an intercept."""
+    """For each category its features' weights, the weights of the earlier probabilities, and an intercept."""
 
     categories: list[str]
     weights: dict[str, tuple[float, ...]]
@@ -36,9 +46,9 @@ class Chain:
     intercepts: list[float]
     thresholds: list[float]
 
-    def probabilities(self, words: set[str]) -> list[float]:
+    def probabilities(self, features: set[str]) -> list[float]:
         sums = list(self.intercepts)
-        for w in words & self.weights.keys():
+        for w in features & self.weights.keys():
             for k, x in enumerate(self.weights[w]):
                 sums[k] += x
         out: list[float] = []
@@ -59,7 +69,7 @@ def _best_threshold(p: np.ndarray, wanted: np.ndarray) -> float:
 def _fit(categories: list[str], folds: int, penalty: float):
     def fit(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values(["doc_id", "text"], ignore_index=True)
-        found = [words_of(t) for t in sample["text"]]
+        found = [features_of(t) for t in sample["text"]]
         often = Counter(w for ws in found for w in ws)
         vocabulary = sorted(w for w, n in often.items() if n >= 3)
         place = {w: i for i, w in enumerate(vocabulary)}
@@ -90,12 +100,14 @@ def fit_chain(documents: DataFrame, labels: DataFrame, categories: list[str], sa
     """Fit the chain on at most ``sample_rows`` labelled rows, whole texts, in one task.
 
     A later category is fitted on out-of-fold probabilities of the earlier ones, so it learns how far they
-    are to be trusted on unseen texts; the thresholds come from the same. Features are the different
-    words of a text, those in three texts or more; the penalty leaves most without weight. Of rows with the same
-    ``doc_id`` the one whose text has the least hash counts. Labels that are NULL, or of no document, are left out. Without labelled rows nothing is toxic.
+    are to be trusted on unseen texts; the thresholds come from the same. Features are the different words of
+    a text and their beginnings, those in three texts or more; the penalty leaves most without weight. Of rows with the same
+    ``doc_id`` the one whose text has the least hash counts, of several labels of one the least. Labels that are NULL, or of no
+    document, are left out. Without labelled rows nothing is toxic. Other columns are not read.
     """
     chosen = (
-        labels.select("doc_id", *categories).dropna().dropDuplicates(["doc_id"])
+        labels.select("doc_id", *categories).dropna()
+        .groupBy("doc_id").agg(F.min(F.struct(*categories)).alias("label")).select("doc_id", "label.*")
         .orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample_rows)
     )
     # The least text is told before the shuffle, so the rows of a repeated doc_id do not meet in one task.
@@ -128,13 +140,13 @@ def score_toxicity(documents: DataFrame, chain: Chain) -> DataFrame:
     """``doc_id``, the probability ``p_<category>`` and the verdict ``<category>`` of every row.
 
     Whole texts are read, once. A NULL or empty text has the intercepts' probabilities; repeated rows are
-    each scored.
+    each scored. An empty table gives no rows, and other columns are not read.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([chain.probabilities(words_of(t.as_py())) for t in batch.column(1)])
+            found = np.array([chain.probabilities(features_of(t.as_py())) for t in batch.column(1)])
             found = found.reshape(-1, len(chain.categories))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(p) for p in found.T],

@@ -314,6 +314,25 @@ def test_the_chain_on_texts_it_has_not_seen(spark, docs):
     assert toxicity.score_toxicity(docs, nothing).filter("toxic").count() == 0
 
 
+def test_of_clashing_labels_the_least_counts(spark):
+    texts = spark.createDataFrame([(i, f"plain words number {i % 9} " + ("vile " * (i % 2))) for i in range(200)], "doc_id bigint, text string")
+    clean = [(i, i % 2) for i in range(200)]
+    chains = [
+        toxicity.fit_chain(texts, spark.createDataFrame(rows, "doc_id bigint, toxic int").coalesce(1), ["toxic"])
+        for rows in (clean, clean + [(4, 1), (6, 1)], [(4, 1), (6, 1)] + clean)
+    ]
+    assert chains[0] == chains[1] == chains[2]
+    rows = toxicity.score_toxicity(texts, chains[1]).collect()
+    assert all(r.toxic == bool(r.doc_id % 2) for r in rows)
+    assert toxicity.score_toxicity(texts.limit(0), chains[0]).collect() == []
+
+
+def test_beginnings_of_words():
+    assert toxicity.features_of("Stemmed stemma, stemX stemx! no") == {
+        "stemmed", "stemma", "stemx", "no", "stemm*1", "stemm*2"}
+    assert toxicity.features_of(None) == set()
+
+
 def test_licences(spark, docs):
     lines = {
         "MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
