@@ -5,16 +5,20 @@ All group by way of partial aggregates, so a hot key costs one row per task in t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import percent_text
+from shelfwise.sources.scratch import stored_table
 
 MONEY = "decimal(18,2)"
-# Half the width of the bands around a wanted quantile, as a share of all values.
-BAND = 0.002
+# Counters of a 16-bit digit.
+DIGIT_VALUES = 1 << 16
 
 
 def money_sum(c: Column | str) -> Column:
@@ -96,60 +100,82 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     )
 
 
-def _exact_quantiles(df: DataFrame, counted: DataFrame, shares: Sequence[float]) -> DataFrame:
-    """One row ``q``: the interpolated quantiles of ``df.v``; ``counted`` holds each value's count.
+def _sortable(v: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned 64-bit integers in the same order."""
+    bits = (np.asarray(v, np.float64) + 0.0).view(np.int64)
+    return (bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(np.uint64) ^ np.uint64(1 << 63)
 
-    A sketch of the values gives narrow bands around the wanted ranks. The exact counts of the bands
-    and of what lies between them tell where each rank is; only the values there are put in order.
-    A sketch that is off makes a band larger, not the result wrong.
+
+def _double(key: int) -> float:
+    """The double that ``_sortable`` gives ``key``."""
+    bits = np.array([key ^ (1 << 63)], np.uint64).view(np.int64)
+    return float((bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(np.float64)[0])
+
+
+def values_at_ranks(counted: DataFrame, ranks: Sequence[int]) -> list[float]:
+    """The values at the given ranks, from 0, of the sorted rows that ``counted`` (v double, n) stands for.
+
+    A rank is found 16 bits at a time, from the highest: a pass counts the next 16 bits of the values that share the bits found so
+    far, ``DIGIT_VALUES`` counters a rank at most, and nothing is put in order but these. Four passes find any number of ranks.
     """
-    around = [share + side * BAND for share in shares for side in (-1, 1)]
-    seen = df.agg(F.struct(
-        F.percentile_approx("v", around, 10000).alias("edges"), (F.count("v") - 1).alias("last")
-    )).scalar()
-    band = sum((F.col("v") >= F.col("seen.edges")[i]).cast("int") for i in range(len(around)))
-    banded = counted.select("v", "n", seen.alias("seen")).select(
-        "v", "n", band.alias("band"), F.col("seen.last").alias("last")
-    )
-    totals = banded.groupBy("band").agg(F.sum("n").alias("size"), F.max("last").alias("last"))
-    # One row per band.
-    placed = totals.withColumn("before", F.sum("size").over(Window.orderBy("band")) - F.col("size"))
-    ranks = F.array(*[
-        F.struct(F.lit(2 * i + side).alias("slot"), rounded(share * F.col("last")).alias("rank"))
-        for i, share in enumerate(shares) for side, rounded in enumerate((F.floor, F.ceil))
-    ])
-    wanted = (
-        placed.select("band", "before", "size", F.explode(ranks).alias("r"))
-        .filter((F.col("r.rank") >= F.col("before")) & (F.col("r.rank") < F.col("before") + F.col("size")))
-        .select("band", "r.slot", (F.col("r.rank") - F.col("before")).alias("rank"))
-    )
-    upto = F.sum("n").over(Window.partitionBy("slot").orderBy("v"))
-    found = (
-        banded.join(F.broadcast(wanted), "band")  # two rows per share
-        .withColumn("upto", upto)
-        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-    )
-    at = [F.max(F.when(F.col("slot") == i, F.col("v"))) for i in range(2 * len(shares))]
-    place = [share * F.max("last") for share in shares]
-    return found.agg(F.array(*[
-        at[2 * i] + (at[2 * i + 1] - at[2 * i]) * (place[i] - F.floor(place[i])) for i in range(len(shares))
-    ]).alias("q"))
+    found = [(0, rank) for rank in ranks]  # the bits so far, and the rank among the values that have them
+    for shift in (48, 32, 16, 0):
+        prefixes = sorted({bits for bits, _ in found})
+
+        def count(batches: Iterator[pa.RecordBatch], shift: int = shift, prefixes: list[int] = prefixes) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((len(prefixes), DIGIT_VALUES), np.int64)
+            for batch in batches:
+                keys, n = _sortable(batch.column(0).to_numpy()), batch.column(1).to_numpy()
+                digits = ((keys >> np.uint64(shift)) & np.uint64(DIGIT_VALUES - 1)).astype(np.int64)
+                for i, prefix in enumerate(prefixes):
+                    own = slice(None) if shift == 48 else (keys >> np.uint64(shift + 16)) == np.uint64(prefix)
+                    sums[i] += np.bincount(digits[own], n[own], DIGIT_VALUES).astype(np.int64)
+            at, digit = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.int32()), pa.array(digit, pa.int32()), pa.array(sums[at, digit])], names=["at", "digit", "n"])
+
+        counters = np.zeros((len(prefixes), DIGIT_VALUES), np.int64)
+        parts = counted.select("v", "n").mapInArrow(count, "at int, digit int, n bigint")
+        for row in parts.groupBy("at", "digit").agg(F.sum("n").alias("n")).toLocalIterator():
+            counters[row["at"], row["digit"]] = row["n"]
+        upto = counters.cumsum(axis=1)
+        after = []
+        for bits, rank in found:
+            i = prefixes.index(bits)
+            digit = int(np.searchsorted(upto[i], rank, side="right"))
+            after.append((bits << 16 | digit, rank - int(upto[i][digit] - counters[i][digit])))
+        found = after
+    return [_double(bits) for bits, _ in found]
+
+
+def exact_quantiles(counted: DataFrame, shares: Sequence[float]) -> list[float | None]:
+    """Interpolated quantiles of the rows that ``counted`` (v double, n) stands for; NULL if there are none."""
+    total = counted.agg(F.sum("n")).first()[0]
+    if not total:
+        return [None] * len(shares)
+    places = [share * (total - 1) for share in shares]
+    at = values_at_ranks(counted, [r for p in places for r in (math.floor(p), math.ceil(p))])
+    return [
+        low if low == high else low + (high - low) * (p - math.floor(p))
+        for p, low, high in zip(places, at[::2], at[1::2], strict=True)
+    ]
 
 
 def box_stats(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
     """One row of box-plot figures: quartiles, whiskers, number of values beyond them.
 
-    Equal values are counted together first. ``approximate`` takes the quartiles from a sketch, which
-    spares the passes that find the exact ones.
+    Equal values are counted together first, and the counts stored, as several passes read them. ``approximate`` takes the
+    quartiles from a sketch, which spares the passes that find the exact ones.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
     counted = values.groupBy("v").agg(F.count("*").alias("n"))
     shares = [0.25, 0.5, 0.75]
     if approximate:
-        quartiles = values.agg(F.percentile_approx("v", shares, 10000))
+        quartiles = values.agg(F.percentile_approx("v", shares, 10000)).scalar()
     else:
-        quartiles = _exact_quantiles(values, counted, shares)
-    boxed = counted.select("v", "n", quartiles.scalar().alias("q")).select(
+        counted = stored_table(counted, "value-counts")
+        quartiles = F.array(*[F.lit(q).cast("double") for q in exact_quantiles(counted, shares)])
+    boxed = counted.select("v", "n", quartiles.alias("q")).select(
         "v", "n", *[F.col("q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))]
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5

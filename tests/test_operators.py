@@ -28,6 +28,26 @@ def test_quartiles_of_many_values(spark):
     assert np.allclose([box.q1, box.median, box.q3], np.percentile(numbers, [25, 50, 75]))
 
 
+def test_values_at_ranks_are_those_of_sorting(spark):
+    rng = np.random.default_rng(4)
+    numbers = np.concatenate([rng.normal(0, 1, 300) * 10.0 ** rng.integers(-300, 300, 300), [0.0, -0.0, 5e-324, -5e-324, np.inf, -np.inf]])
+    times = rng.integers(1, 4, len(numbers))
+    counted = spark.createDataFrame(list(zip(numbers.tolist(), times.tolist())), "v double, n bigint").repartition(5)
+    every = np.sort(np.repeat(numbers, times))
+    ranks = [0, 1, len(every) // 2, len(every) // 2, len(every) - 2, len(every) - 1, *rng.integers(0, len(every), 20).tolist()]
+    assert aggregates.values_at_ranks(counted, ranks) == [every[r] for r in ranks]
+
+
+def test_no_value_has_no_quartiles(spark):
+    box = aggregates.box_stats(spark.createDataFrame([(None,)], "v double"), "v").first()
+    assert box.q1 is None and box.median is None and box.n is None
+
+
+def test_quartiles_sort_nothing(spark, capsys):
+    aggregates.box_stats(values(spark, range(1000)), "v").explain()
+    assert not any(word in capsys.readouterr().out for word in ("Sort ", "Window"))
+
+
 def test_box_stats_weigh_repeated_values(spark):
     numbers = [1.0] * 5 + [2.0] * 7 + [9.0] * 2
     box = aggregates.box_stats(values(spark, numbers), "v").first()
