@@ -11,6 +11,7 @@ from shelfwise.checks.registry import query
 from shelfwise.checks.relational import _FREE_SHARE, _HOURS, _SIZES, box_sql, histogram_sql
 from shelfwise.checks.scalar import CLASS_SQL, PRICE_SQL, YEAR_SQL, sentiment_sql
 from shelfwise.checks.tables import Tables, ctes
+from shelfwise.operators import quality
 from shelfwise.plans import etl, reports, views
 
 # ---------------------------------------------------------------------------------- sources, sinks
@@ -383,3 +384,25 @@ _USUAL = {"price": r"^\d+(\.\d+)?$", "release_date": r"^\d{4}-\d{2}-\d{2}$"}
        for c, p in _USUAL.items()]))
 def _(t: Tables) -> DataFrame:
     return reports.data_quality(t.catalog_raw().select(*_RAW), "id", _DISTINCT, _USUAL)
+
+
+_FREQUENT = ["id", "genres", "tags", "price", "release_date", "developer", "publisher"]
+
+
+@query("report_value_frequencies", ctes("catalog_raw") + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {f'CAST(to_json({c}) AS VARCHAR)' if c in ('genres', 'tags') else f'CAST({c} AS VARCHAR)'} AS value, count(*) AS n
+    FROM catalog_raw GROUP BY {c}""" for c in _FREQUENT))
+def _(t: Tables) -> DataFrame:
+    return quality.value_frequencies(t.catalog_raw(), _FREQUENT)
+
+
+@query("report_dropped_rows", ctes("catalog_raw") + f""",
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY url) AS r FROM catalog_raw),
+    typed AS (SELECT id, price, coalesce(genres, tags) AS genres, k AS o_orderkey, tags, r, coalesce(developer, publisher) AS developer FROM ranked),
+    judged AS (SELECT CASE WHEN id IS NULL THEN 'no id' WHEN r > 1 THEN 'repeated id' WHEN genres IS NULL THEN 'no genres'
+            WHEN {PRICE_SQL} IS NULL THEN 'no price' WHEN {YEAR_SQL} IS NULL THEN 'no release_date'
+            WHEN developer IS NULL THEN 'no developer' ELSE 'kept' END AS reason
+        FROM typed JOIN orders USING (o_orderkey))
+    SELECT reason, count(*) AS n FROM judged GROUP BY reason""")
+def _(t: Tables) -> DataFrame:
+    return reports.dropped_rows(t.catalog_raw(), ["url"])

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -41,3 +42,16 @@ def duplicate_key_report(df: DataFrame, key: str) -> DataFrame:
     """(repeated, keys): how many keys occur once and how many more often."""
     per_key = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     return per_key.groupBy((F.col("n") > 1).alias("repeated")).agg(F.count("*").alias("keys"))
+
+
+def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n): how often each value of each column occurs, as text, NULL counted as a value of its own.
+
+    One scan and one shuffle for all columns; equal values are counted in every task first.
+    """
+    def text(c: str) -> Column:
+        kind = df.schema[c].dataType
+        return F.to_json(c) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else F.col(c).cast("string")
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in columns])
+    return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("n"))

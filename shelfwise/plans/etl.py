@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +25,19 @@ def clean_catalog(
     """
     typed = raw.dropna(how="all").withColumn("id", F.col("id").try_cast("bigint"))
     first = dedup_keep_first(typed.dropna(subset=["id"]), "id", order)
-    return first.select(
-        "id",
-        "title",
-        title_case(trim_right(F.coalesce("developer", "publisher"))).alias("developer"),
-        F.coalesce("genres", "tags").alias("genres"),
-        parse_price(F.col("price"), F.coalesce("genres", "tags"), F.col("tags")).alias("price"),
-        parse_release_year(F.col("release_date"), long_text_year).alias("release_date"),
-    ).dropna(subset=["genres", "price", "release_date", "developer"])
+    return first.select("id", "title", catalog_columns(F.col, long_text_year).alias("c")).select(
+        "id", "title", "c.*").dropna(subset=["genres", "price", "release_date", "developer"])
+
+
+def catalog_columns(of: Callable[[str], Column], long_text_year: int = LONG_TEXT_YEAR) -> Column:
+    """The typed columns of a catalog row, from its raw ones; a row without one of them is dropped."""
+    genres = F.coalesce(of("genres"), of("tags"))
+    return F.struct(
+        title_case(trim_right(F.coalesce(of("developer"), of("publisher")))).alias("developer"),
+        genres.alias("genres"),
+        parse_price(of("price"), genres, of("tags")).alias("price"),
+        parse_release_year(of("release_date"), long_text_year).alias("release_date"),
+    )
 
 
 def flatten_reviews(raw: DataFrame) -> DataFrame:

@@ -5,7 +5,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators.aggregates import (
@@ -15,8 +18,9 @@ from shelfwise.operators.aggregates import (
     sum_by_group,
     value_counts,
 )
-from shelfwise.operators.quality import distinct_counts, duplicate_key_report, null_counts
+from shelfwise.operators.quality import value_frequencies
 from shelfwise.operators.ranking import top_k
+from shelfwise.plans.etl import catalog_columns
 
 
 def _at_grain(interactions: DataFrame, column: str, grain: str) -> DataFrame:
@@ -79,19 +83,43 @@ def sentiment_counts(interactions: DataFrame) -> DataFrame:
 
 def data_quality(raw: DataFrame, key: str, columns: list[str], usual: dict[str, str]) -> DataFrame:
     """(check, subject, value): rows missing per column, distinct values, repeated keys, and values
-    that do not match the usual pattern of their column."""
-    unusual = raw.agg(*[
-        F.count_if(~F.col(c).cast("string").rlike(pattern)).alias(c) for c, pattern in usual.items()
-    ]).unpivot([], list(usual), "subject", "value")
-    parts = [
-        null_counts(raw).select(F.lit("missing"), "column", "nulls"),
-        distinct_counts(raw, columns).select(F.lit("distinct"), "column", "distinct_values"),
-        duplicate_key_report(raw, key).select(
-            F.lit("key"), F.when(F.col("repeated"), "repeated").otherwise("single"), "keys"
-        ),
-        unusual.select(F.lit("unusual"), "subject", "value"),
-    ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.union(part)
-    return report.toDF("check", "subject", "value")
+    that do not match the usual pattern of their column. All of it is read off the values' frequencies, one scan."""
+    column, value, n = F.col("column"), F.col("value"), F.col("n")
+    odd = reduce(or_, [(column == c) & ~value.rlike(p) for c, p in usual.items()], F.lit(False))
+    repeated = F.when(n > 1, "repeated").otherwise("single")
+
+    def adds(check: str, subject: Column, amount: Column) -> Column:
+        return F.struct(F.lit(check).alias("check"), subject.alias("subject"), amount.cast("bigint").alias("value"))
+
+    # What one value adds to the checks it matters to.
+    every = F.array(
+        adds("missing", column, F.when(value.isNull(), n).otherwise(0)),
+        F.when(column.isin(columns), adds("distinct", column, value.isNotNull().cast("int"))),
+        F.when((column == key) & value.isNotNull(), adds("key", repeated, F.lit(1))),
+        F.when(column.isin(list(usual)), adds("unusual", column, F.when(odd, n).otherwise(0))),
+    )
+    counted = value_frequencies(raw, raw.columns).select(F.explode(every).alias("add")).filter("add is not null")
+    return counted.groupBy("add.check", "add.subject").agg(F.sum("add.value").alias("value"))
+
+
+def dropped_rows(raw: DataFrame, order: list[str]) -> DataFrame:
+    """(reason, n): what becomes of the rows of a raw catalog, ``kept`` or the first rule that drops them.
+
+    Of several rows with one id the first by ``order`` counts. Rows of an id are counted and the first of them found in one
+    aggregate, before the shuffle too, so an id with very many rows is no burden.
+    """
+    empty = reduce(and_, [F.col(c).isNull() for c in raw.columns])
+    typed = raw.withColumn("id", F.col("id").try_cast("bigint")).withColumn("empty", empty)
+    found = typed.groupBy("id", "empty").agg(
+        F.count("*").alias("n"), F.min(F.struct(*order, *[c for c in raw.columns if c not in order])).alias("first")
+    )
+    cleaned = found.select("id", "empty", "n", "first", catalog_columns(lambda c: F.col("first").getField(c)).alias("c"))
+    reason = reduce(
+        lambda done, c: done.when(F.col("c").getField(c).isNull(), f"no {c}"), ["price", "release_date", "developer"],
+        F.when(F.col("c.genres").isNull(), "no genres"),
+    ).otherwise("kept")
+    counts = F.when(F.col("empty"), F.array(F.struct(F.lit("empty").alias("reason"), F.col("n")))).when(
+        F.col("id").isNull(), F.array(F.struct(F.lit("no id").alias("reason"), F.col("n")))).otherwise(F.array(
+            F.struct(reason.alias("reason"), F.lit(1).cast("bigint").alias("n")),
+            F.struct(F.lit("repeated id").alias("reason"), (F.col("n") - 1).alias("n"))))
+    return cleaned.select(F.inline(counts)).groupBy("reason").agg(F.sum("n").alias("n")).filter("n > 0")

@@ -160,3 +160,24 @@ def test_a_developer_without_reviews_has_none_of_either_kind(spark):
     acme = views.developer_sentiment(catalog, reviews, "acme").collect()
     assert [(r.developer, r.negative, r.positive) for r in acme] == [("Acme", 0, 0)]
     assert views.developer_sentiment(catalog, reviews, "nobody").collect() == []
+
+
+def test_rows_are_dropped_for_the_first_rule_that_fits(spark):
+    schema = "id string, url string, title string, developer string, publisher string, genres array<string>, tags array<string>, price string, release_date string"
+    good = ["t", "dev", None, ["A"], None, "1.5", "2016"]
+    rows = [
+        ("1", "b", *good), ("1", "a", *good), ("1", "c", *good), (None, "d", *good), ("x", "e", *good), (None,) * 9,
+        ("2", "f", "t", "dev", None, None, None, "1.5", "2016"), ("3", "g", "t", "dev", None, ["A"], None, None, "2016"),
+        ("4", "h", "t", "dev", None, ["A"], None, "1.5", "TBA"), ("5", "i", "t", None, None, ["A"], None, "1.5", "2016"),
+        ("6", "j", "t", None, None, None, None, None, None),
+    ]
+    raw = spark.createDataFrame(rows, schema)
+    found = {r.reason: r.n for r in reports.dropped_rows(raw, ["url"]).collect()}
+    assert found == {"kept": 1, "repeated id": 2, "no id": 2, "empty": 1, "no genres": 2, "no price": 1, "no release_date": 1, "no developer": 1}
+    assert found["kept"] == etl.clean_catalog(raw, [F.asc("url")]).count() and sum(found.values()) == raw.count()
+
+
+def test_quality_report_scans_once(spark, capsys):
+    raw = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    reports.data_quality(raw, "o_orderkey", ["o_orderstatus"], {"o_orderpriority": "^1"}).explain("formatted")
+    assert capsys.readouterr().out.count("Scan parquet") == 2  # once in the tree, once in its details
