@@ -124,7 +124,9 @@ def score_texts(df: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
 
     # Rows that agree in all columns, text included, are told apart by the input partition they
     # come from and counted within it, so that copies are neither merged nor gathered in one task.
-    source = df.select(
+    # The work lies in the texts, and a feed may be few splits or one: rows are dealt out evenly before any is cut up.
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    source = dealt.select(
         F.struct(*rest, F.xxhash64(text).alias("_text"), F.spark_partition_id().alias("_part"))
         .alias(_KEEP),
         _emphasis(F.col(text)).alias("emphasis"),

@@ -139,11 +139,22 @@ def developer_sentiment(
 
 
 def user_recommendations(
-    model: RatingModel, interactions: DataFrame, user_id: str, k: int = 5
+    model: RatingModel, interactions: DataFrame, user_id: str, k: int = 5, libraries: DataFrame | None = None
 ) -> DataFrame:
-    """The k items recommended to one user, with their names."""
-    best = recommend(model, interactions, k, user_id)
-    names = interactions.groupBy("item_id").agg(F.min("item_name").alias("item_name"))
-    return best.join(names, "item_id").select("user_id", "place", "item_id", "item_name", "estimate")
-
+    """The k items recommended to one user, with their names.
 
+    Candidates and names come from ``model.items``, one row an item, if it was fitted with names; of the wide table only the
+    user's rows are read then. What the user owns are these rows' items, or, with ``libraries``, all items of the user's
+    library. A user without rows in the wide table gets none.
+    """
+    own = F.col("user_id") == user_id
+    mine = interactions.filter(own).select("user_id", "item_id")
+    if libraries is not None:
+        whole = library_items(libraries.filter(own)).select("user_id", "item_id")
+        mine = mine.unionByName(whole.join(mine.select("user_id").distinct(), "user_id", "left_semi"))
+    if "item_name" in model.items.columns:
+        names = model.items.select("item_id", "item_name")
+    else:
+        names = interactions.groupBy("item_id").agg(F.min("item_name").alias("item_name"))
+    best = recommend(model, mine, k, user_id, candidates=names)
+    return best.join(names, "item_id").select("user_id", "place", "item_id", "item_name", "estimate")
