@@ -61,8 +61,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     Each different host and path is looked at once. Its suffixes of the host and beginnings of the
     path are the URLs that may be listed; those the Bloom filter passes meet the rules in an exact
     join, which removes false positives. Neither join forces a broadcast: small lists are broadcast
-    by their size, long ones are shuffled and hot hosts split by adaptive execution. The path lengths
-    that occur in the rules come to the driver, at most as many as the longest path has characters.
+    by their size, long ones are shuffled and hot hosts split by adaptive execution. The numbers of labels and the path lengths
+    that occur in the rules come to the driver, at most as many as the longest host has labels and the longest path
+    characters; only suffixes and beginnings of these sizes are looked at, so a host of very many labels costs no more.
 
     A NULL URL, or one without ``://``, has an empty host and path and no rule. Rules with a NULL are
     left out. Repeated rows stay. Columns of ``pages`` with one of the four names are replaced.
@@ -70,8 +71,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     rules = rules.dropna(subset=["host", "path", "verdict"]).groupBy("host", "path").agg(
         F.min("verdict").alias("verdict")
     )
-    listed, lengths = rules.agg(
-        F.count("*"), F.collect_set(F.char_length("path"))
+    def labels(host: str) -> Column:
+        return F.char_length(host) - F.char_length(F.replace(F.col(host), F.lit("."), F.lit(""))) + 1
+
+    listed, lengths, sizes = rules.agg(
+        F.count("*"), F.collect_set(F.char_length("path")), F.collect_set(labels("host"))
     ).first()
     names = ("host", "path", "rule", "verdict")
     kept = [c for c in pages.columns if c not in names]
@@ -85,11 +89,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
             "row.*", "host", "path", F.lit(None).cast("string").alias("rule"),
             F.lit(default).alias("verdict"),
         )
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
+    suffixes = F.filter(F.array(*[
+        F.when(labels("host") >= n, F.substring_index("host", ".", -n)) for n in sorted(sizes)
+    ]), F.isnotnull)
     beginnings = F.transform(
         F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.char_length("path")),
         lambda n: F.substring(F.col("path"), F.lit(1), n),

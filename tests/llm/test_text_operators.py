@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -410,3 +411,14 @@ def test_the_chain_counts_a_repeated_document_once(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, toxic int")
     once, often = (spark.createDataFrame(r, "doc_id bigint, text string").repartition(3) for r in (rows, rows + rows[:1] * 300))
     assert toxicity.fit_chain(often, labels, ["toxic"]) == toxicity.fit_chain(once, labels, ["toxic"])
+
+
+def test_hosts_of_very_many_labels(spark):
+    rules = spark.createDataFrame([("net", "/", "block"), ("b.c.org", "/x", "allow"), ("odd..net", "/", "allow")], "host string, path string, verdict string")
+    urls = ["http://" + "a." * 16_000 + "net/", "http://" + "." * 16_000 + "net/", "http://q.b.c.org/xy", "http://c.org/x", "http://odd..net/", "http://net"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    start = time.perf_counter()
+    got = {r.page_id: r.rule for r in url_filter.judge_urls(pages, rules).select("page_id", "rule").collect()}
+    assert got == {0: "net/", 1: "net/", 2: "b.c.org/x", 3: None, 4: "odd..net/", 5: None}
+    assert time.perf_counter() - start < 30
+    assert url_filter.judge_urls(pages.limit(0), rules).collect() == []
