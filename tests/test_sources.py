@@ -111,3 +111,30 @@ def test_a_gzip_feed_is_spread_after_the_scan(spark, tmp_path):
     finally:
         for name in small:
             spark.conf.unset(f"spark.sql.adaptive.{name}")
+
+
+def rows_scanned(df):
+    """Rows that the scan of a one-table query gave, and the result."""
+    rows = df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return leaves.head().metrics().apply("numOutputRows").value(), rows
+
+
+def test_a_lookup_reads_few_row_groups(spark, tmp_path):
+    """Of a table written for one-user questions, most row groups are skipped; of one written as it comes, none."""
+    libraries = spark.range(60_000).select(
+        F.md5((F.col("id") % 2_000).cast("string")).alias("user_id"), F.col("id").alias("item_id"), F.rand(3).alias("hours"))
+    spark.conf.set("parquet.block.size", "65536")
+    try:
+        sources.write_parquet(libraries.repartition(4), str(tmp_path / "plain"))
+        sources.write_parquet(libraries, str(tmp_path / "sorted"), lookup="user_id")
+    finally:
+        spark.conf.unset("parquet.block.size")
+    user = libraries.first().user_id
+    plain, sorted_ = (
+        rows_scanned(sources.scan_parquet(spark, str(tmp_path / name)).filter(F.col("user_id") == user)) for name in ("plain", "sorted"))
+    assert sorted(plain[1]) == sorted(sorted_[1]) and len(plain[1]) == 30
+    assert sorted_[0] < 0.1 * plain[0]
+    nobody = sources.scan_parquet(spark, str(tmp_path / "sorted")).filter(F.col("user_id") == "0" * 31 + "x")
+    assert rows_scanned(nobody)[0] < 0.1 * 60_000
+    assert sources.scan_parquet(spark, str(tmp_path / "sorted")).count() == 60_000
