@@ -35,7 +35,8 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     ``n_symbol_runs`` (runs of two symbols or more); ``n_bare_symbols`` (symbols between blanks);
     ``n_capitals`` (runs of two or more of A-Z); ``n_marks`` (``!``); ``n_stops`` (words that end a sentence);
     ``base_failed`` (fewer than 50 words, or more than half of them repeated). A NULL or empty text has
-    zeros. Windows are compared by 64-bit hashes, within a text only.
+    zeros, repeated rows are each counted, an empty table gives none, and all other columns lie in ``row``, so no name
+    clashes. Windows are compared by 64-bit hashes, within a text only; a text is counted whole in one row's expressions.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     cut = documents.select(
@@ -149,43 +150,56 @@ def vote_patterns(statistics: DataFrame) -> DataFrame:
 
 
 #: What is believed before a text is seen: share of good texts, chances of a good vote on either kind.
-#: A bad text breaks some rules only, so the rest still speak well of it. The beliefs weigh as much as
-#: this share of all texts.
+#: A bad text breaks some rules only, so the rest still speak well of it. The beliefs count as this many
+#: texts, so they fade as texts are seen; they tell which of the two kinds found is the good one.
 START = (0.8, 0.99, 0.6)
-BELIEF = 0.5
+BELIEF_TEXTS = 100
+#: No rule is trusted more than this: one vote alone does not settle what nine others deny.
+MOST_SURE = 0.99
 
 
-def fit_label_model(patterns: DataFrame, rounds: int = 200, tolerance: float = 1e-9) -> LabelModel:
+def _accuracies(good: tuple[float, float], bad: tuple[float, float]) -> tuple[float, float]:
+    """Chances of a good vote on good and on bad texts, from (good votes, bad votes) on either kind.
+
+    A good vote never speaks against a text: where the votes say so, the rule tells nothing and both are equal.
+    """
+
+    def chance(votes: tuple[float, float], start: float) -> float:
+        seen = (votes[0] + BELIEF_TEXTS * start) / (votes[0] + votes[1] + BELIEF_TEXTS)
+        return min(MOST_SURE, max(1 - MOST_SURE, seen))
+
+    on_good, on_bad = chance(good, START[1]), chance(bad, START[2])
+    if on_good < on_bad:
+        on_good = on_bad = chance((good[0] + bad[0], good[1] + bad[1]), START[1])
+    return on_good, on_bad
+
+
+def fit_label_model(patterns: DataFrame, rounds: int = 500, tolerance: float = 1e-9) -> LabelModel:
     """Estimate the share of good texts and the rules' accuracies from the votes alone.
 
     Texts are counted by pattern in Spark; the patterns, at most three to the number of rules however
     many texts there are, come to the driver, where the rounds of expectation and maximisation are
-    plain sums. With no texts the starting beliefs are returned.
+    plain sums. With no texts the starting beliefs are returned. Equal counts give equal models.
     """
     rules = [c for c in patterns.columns if c != "texts"]
     share, on_good, on_bad = START
     model = LabelModel(share, dict.fromkeys(rules, on_good), dict.fromkeys(rules, on_bad))
     seen = sorted((tuple(r[c] for c in rules), r["texts"]) for r in patterns.collect())
-    weight = 1 + BELIEF * sum(n for _, n in seen)
     for _ in range(rounds if seen else 0):
         good_texts = bad_texts = 0.0
-        votes = {r: {("good", 1): 0.0, ("good", -1): 0.0, ("bad", 1): 0.0, ("bad", -1): 0.0} for r in rules}
+        votes = {r: {1: [0.0, 0.0], -1: [0.0, 0.0]} for r in rules}  # by vote: on good, on bad texts
         for pattern, n in seen:
             good = n * model.probability(dict(zip(rules, pattern, strict=True)))
             good_texts += good
             bad_texts += n - good
             for rule, vote in zip(rules, pattern, strict=True):
                 if vote:
-                    votes[rule]["good", vote] += good
-                    votes[rule]["bad", vote] += n - good
-
-        def chance(rule: str, kind: str, start: float, votes=votes) -> float:
-            up, down = votes[rule][kind, 1], votes[rule][kind, -1]
-            return (up + weight * start) / (up + down + weight)
-
+                    votes[rule][vote][0] += good
+                    votes[rule][vote][1] += n - good
+        chances = {r: _accuracies((v[1][0], v[-1][0]), (v[1][1], v[-1][1])) for r, v in votes.items()}
         new = LabelModel(
-            (good_texts + weight * share) / (good_texts + bad_texts + weight),
-            {r: chance(r, "good", on_good) for r in rules}, {r: chance(r, "bad", on_bad) for r in rules},
+            (good_texts + BELIEF_TEXTS * share) / (good_texts + bad_texts + BELIEF_TEXTS),
+            {r: c[0] for r, c in chances.items()}, {r: c[1] for r, c in chances.items()},
         )
         moved = max(abs(a - b) for a, b in zip(new.numbers(), model.numbers(), strict=True))
         model = new

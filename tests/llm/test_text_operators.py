@@ -6,6 +6,7 @@ import random
 import time
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -179,6 +180,41 @@ def test_the_label_model_finds_junk_without_labels(spark):
     assert right >= 0.97 * len(rows)
 
 
+def drawn_votes(spark, n, accuracies, share=0.9):
+    """Counts of the votes of independent rules: expected numbers of ``n`` texts, by (good vote on good, on bad)."""
+    rows = []
+    for votes in product((1, -1), repeat=len(accuracies)):
+        chance = [share, 1 - share]
+        for vote, pair in zip(votes, accuracies):
+            chance = [c * (p if vote > 0 else 1 - p) for c, p in zip(chance, pair)]
+        rows.append((*votes, round(n * sum(chance))))
+    return spark.createDataFrame(rows, ", ".join(f"r{i} int" for i in range(len(accuracies))) + ", texts bigint")
+
+
+def test_a_useless_rule_loses_its_weight_as_texts_are_seen(spark):
+    true = [(0.95, 0.2), (0.9, 0.3), (0.97, 0.4), (0.7, 0.7)]
+    gaps = []
+    for n in (200, 20_000, 2_000_000):
+        model = quality.fit_label_model(drawn_votes(spark, n, true))
+        gaps.append(abs(model.on_good["r3"] - model.on_bad["r3"]))
+    assert gaps[0] > gaps[1] > gaps[2] and gaps[2] < 0.001
+    assert all(abs(w) < 0.002 for w in model.weights()[1]["r3"].values())
+
+
+def test_the_label_model_finds_the_accuracies_of_its_rules(spark):
+    true = [(0.95, 0.2), (0.9, 0.3), (0.97, 0.4), (0.85, 0.5)]
+    model = quality.fit_label_model(drawn_votes(spark, 2_000_000, true))
+    assert model.share == pytest.approx(0.9, abs=0.01)
+    for i, (good, bad) in enumerate(true):
+        assert (model.on_good[f"r{i}"], model.on_bad[f"r{i}"]) == pytest.approx((good, bad), abs=0.01)
+
+
+def test_a_good_vote_never_speaks_against_a_text(spark):
+    model = quality.fit_label_model(drawn_votes(spark, 100_000, [(0.95, 0.2), (0.9, 0.3), (0.97, 0.4), (0.2, 0.9)]))
+    assert all(model.on_good[r] >= model.on_bad[r] for r in model.on_good)
+    assert model.weights()[1]["r3"] == {1: 0.0, -1: 0.0}
+
+
 def test_mixing(docs, none):
     got = mixing.mix_sources(docs).collect()
     sizes = Counter()
