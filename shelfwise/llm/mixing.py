@@ -20,10 +20,18 @@ ORDERED_ROWS = 1024
 def code_point_weights(sources: DataFrame) -> DataFrame:
     """``weight`` 1, 2, 3, 1, ... of the sources by code point, NULL last.
 
-    The sources, a row of two values each, are numbered in one task.
+    Each range of sources is numbered on its own, behind those of the ranges before it; only the ranges,
+    as many as there are shuffle partitions, are put in order together.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    return sources.withColumn("weight", (place - 1) % 3 + 1)
+    order = F.col("source").asc_nulls_last()
+    # Stored, so that a source stays in the range it was counted in.
+    ranged = stored(sources.repartitionByRange(order).withColumn("range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n")).select(
+        "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    )
+    place = F.row_number().over(Window.partitionBy("range").orderBy(order)) + F.col("before")
+    return ranged.join(counts, "range").withColumn("weight", ((place - 1) % 3 + 1).cast("int")).drop("range", "before")
 
 
 def share_targets(sources: DataFrame, most_repeats: int = MOST_REPEATS) -> DataFrame:
@@ -116,6 +124,12 @@ def _quotas(group: pd.DataFrame) -> pd.DataFrame:
     return group.assign(passes=passes, take=take)[["source_key", "size", "source_size", "target", "n", "passes", "take"]]
 
 
+def _hashable(df: DataFrame) -> list[Column]:
+    """All columns; as JSON those with maps, which Spark does not hash."""
+    return [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+            for f in df.schema.fields]
+
+
 def mix_sources(documents: DataFrame, size: Column | None = None, seed: int = 17) -> DataFrame:
     """``row`` (all columns), ``size``, ``source_size``, ``target`` and ``repeats`` of every document.
 
@@ -127,14 +141,15 @@ def mix_sources(documents: DataFrame, size: Column | None = None, seed: int = 17
     on their own, so a common length of a large source is not sorted in one place.
 
     A NULL source is a source, the last one. A NULL or empty text has size 0 and is taken as often as its
-    source passes whole, which is no word. Repeated rows are told apart by nothing, any of them may be
-    taken. Where all sizes are 0, targets are 0. Reruns agree.
+    source passes whole, which is no word. Rows are drawn by all their columns: only rows that are equal
+    throughout are told apart by nothing, and any of them may be taken. Where all sizes are 0, targets are 0;
+    an empty table gives none. Reruns agree.
     """
     size = F.size(split_words(F.col("text"))) if size is None else size
     key = F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("source")))
     rows = documents.select(
         F.struct("*").alias("row"), "source", key.alias("source_key"), size.cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), row_key(F.col("doc_id"), F.col("text"))).alias("draw"),
+        F.xxhash64(F.lit(seed), row_key(*_hashable(documents))).alias("draw"),
     )
     lengths = stored(rows.groupBy("source", "source_key", "size").agg(F.count("*").alias("n")), "lengths")
     sources = stored(code_point_weights(

@@ -231,6 +231,31 @@ def test_mixing(docs, none):
     assert counted((r["row"], r.repeats) for r in again) == counted((r["row"], r.repeats) for r in got)
     assert mixing.write_out(mixing.mix_sources(docs)).columns == docs.columns
     assert mixing.mix_sources(none).count() == 0
+    for source, target in targets.items():
+        # As near its target as whole passes and any choice of its texts come.
+        passes, sums = int(target // sizes[source]), {0}
+        for r in ROWS:
+            if r[3] == source:
+                sums |= {x + len(words(r[1])) for x in sums}
+        budget = round(target - passes * sizes[source])
+        assert abs(taken[source] - passes * sizes[source] - budget) == min(abs(x - budget) for x in sums)
+
+
+def test_many_sources_are_numbered_by_code_point(spark):
+    names = [f"host {i * 7919 % 1009}.é" for i in range(1009)] + ["Z", "a", "é", None]
+    rows = spark.createDataFrame([(n, 5) for n in names], "source string, source_size bigint").repartition(7)
+    wanted = {n: i % 3 + 1 for i, n in enumerate([*sorted(x for x in names if x is not None), None])}
+    got = mixing.code_point_weights(rows).collect()
+    assert len(got) == len(names) and {r.source: r.weight for r in got} == wanted
+    assert mixing.code_point_weights(rows.limit(0)).count() == 0
+
+
+def test_the_mix_is_drawn_by_all_columns(spark):
+    rows = [(1, "a b c", "x" if i % 2 else "y", i, {"k": i}) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n int, m map<string,int>")
+    runs = [sorted((r.n for r in mixing.write_out(mixing.mix_sources(docs.repartition(n))).collect())) for n in (1, 3, 5)]
+    assert runs[0] == runs[1] == runs[2]
+
 
 
 def test_closest_subset_is_that_of_all_subsets():
