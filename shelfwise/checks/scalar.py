@@ -226,6 +226,12 @@ def sentiment_sql(table: str, keys: str, text: str = "text") -> str:
             WHEN w{i} IN ({negators}) OR contains(w{i}, 'n''t') THEN {s.NEGATION} ELSE 1 END)"""
         return f"({value} + sign({value}) * {boost} * {damping}) * {turn}"
 
+    idioms = [f"WHEN {{p}} = '{phrase}' THEN {valence}" for phrase, valence in s.IDIOMS.items()]
+    phrases = ["o || ' ' || p1 || ' ' || p2", "o || ' ' || p1", "o1 || ' ' || o", "o2 || ' ' || o1 || ' ' || o", "o2 || ' ' || o1",
+               "o3 || ' ' || o2 || ' ' || o1", "o3 || ' ' || o2"]
+    idiom = "CASE " + " ".join(i.format(p=p) for p in phrases for i in idioms) + " END"
+    damped = ", ".join(f"'{w}'" for w in s.DAMPENERS if " " in w)
+
     return f"""
     raw_words AS (SELECT {keys}, {text} AS whole, {words_sql(text)} AS ws FROM {table}),
     cleaned AS (SELECT {keys}, whole, list_filter(list_transform(ws, lambda w:
@@ -233,12 +239,13 @@ def sentiment_sql(table: str, keys: str, text: str = "text") -> str:
              THEN regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g') ELSE w END),
         lambda w: length(w) > 1) AS ws FROM raw_words),
     flat AS (SELECT {keys}, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM cleaned),
-    marked AS (SELECT {keys}, pos, lower(word) AS w, upper(word) = word AND lower(word) <> word AS u,
+    marked AS (SELECT {keys}, pos, word AS o, lower(word) AS w, upper(word) = word AND lower(word) <> word AS u,
         valence AS v FROM flat LEFT JOIN lexicon ON token = lower(word)),
     placed AS (SELECT {keys}, min(pos) FILTER (w = 'but') AS but, bool_or(NOT u) AS mixed
         FROM marked GROUP BY {keys}),
     around AS (SELECT *, lag(w, 1) OVER o AS w1, lag(w, 2) OVER o AS w2, lag(w, 3) OVER o AS w3,
         lag(u, 1) OVER o AS u1, lag(u, 2) OVER o AS u2, lag(u, 3) OVER o AS u3, lead(w, 1) OVER o AS n1,
+        lag(o, 1) OVER o AS o1, lag(o, 2) OVER o AS o2, lag(o, 3) OVER o AS o3, lead(o, 1) OVER o AS p1, lead(o, 2) OVER o AS p2,
         lag(v, 1) OVER o IS NOT NULL AS x1, lag(v, 2) OVER o IS NOT NULL AS x2,
         lag(v, 3) OVER o IS NOT NULL AS x3
         FROM marked WINDOW o AS (PARTITION BY {keys} ORDER BY pos)),
@@ -247,7 +254,9 @@ def sentiment_sql(table: str, keys: str, text: str = "text") -> str:
         WHERE v IS NOT NULL AND w NOT IN ({up}, {down}) AND NOT (w = 'kind' AND coalesce(n1, '') = 'of')),
     v1 AS (SELECT *, {step(1, 's0')} AS s1 FROM v0),
     v2 AS (SELECT *, {step(2, 's1')} AS s2 FROM v1),
-    v3 AS (SELECT *, {step(3, 's2')} AS s3 FROM v2),
+    v3t AS (SELECT *, {step(3, 's2')} AS t3 FROM v2),
+    v3 AS (SELECT *, CASE WHEN o3 IS NULL OR x3 THEN t3 ELSE coalesce({idiom}, t3)
+        - CASE WHEN o2 || ' ' || o1 IN ({damped}) OR o3 || ' ' || o2 IN ({damped}) THEN {s.BOOST} ELSE 0 END END AS s3 FROM v3t),
     v4 AS (SELECT {keys}, s3 * CASE WHEN w1 = 'least' AND coalesce(w2, '') NOT IN ('at', 'very') THEN {s.NEGATION} ELSE 1 END
         * CASE WHEN pos < but THEN 0.5 WHEN pos > but THEN 1.5 ELSE 1 END AS part FROM v3),
     totals AS (SELECT {keys}, sum(part) AS total FROM v4 GROUP BY {keys}),
@@ -272,10 +281,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("sentiment_compound", ctes("spoken_conversations", "lexicon") + ","
        + sentiment_sql("spoken_conversations", "conv_id, turn") + """
-    SELECT conv_id, turn, round(compound, 3) + 0.0 AS compound FROM scored""")
+    SELECT conv_id, turn, compound + 0.0 AS compound FROM scored""")
 def _(t: Tables) -> DataFrame:
     turns = t.spoken("conversations", "conv_id", "turn")
     scored = sentiment.score_texts(turns, "text", t.lexicon())
-    return scored.withColumn("compound", F.round("compound", 3) + 0.0)
+    return scored.withColumn("compound", F.col("compound") + 0.0)
 
 

@@ -203,7 +203,8 @@ class Tables:
 # Frequent words of the texts, turned into words the scoring rules react to.
 SPOKEN_WORDS = [
     ("of", "not"), ("in", "VERY"), ("to", "slightly"), ("was", "isn't"), ("for", "but"),
-    ("by", "never so"), ("a", "least"), ("und", "kind of"), ("des", "really"),
+    ("by", "never so"), ("a", "least"), ("und", "kind of"), ("des", "really"), ("with", "the bomb"), ("from", "kiss of death"),
+    ("as", "yeah right"), ("der", "sort of"),
 ]
 # Valences of words that do occur in the texts.
 LEXICON = [

@@ -38,6 +38,11 @@ DAMPENERS = [
     "little", "marginally", "occasionally", "partly", "scarcely", "slightly", "somewhat",
     "sort of", "sorta", "sortof", "sort-of",
 ]
+# Phrases whose valence stands for that of the words around them, in the order of the rule.
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "yeah right": -2.0, "cut the mustard": 2.0, "kiss of death": -1.5,
+    "hand to mouth": -2.0,
+}
 BOOST = 0.293
 CAPITALS = 0.733
 NEGATION = -0.74
@@ -109,6 +114,24 @@ def _turn(distance: int, before: list[Column], skip: set[str]) -> Column:
     return F.when(never_so, F.lit(NEVER_SO[distance - 1])).otherwise(negated)
 
 
+def _phrase(*words: Column) -> Column:
+    """The words as a phrase; NULL where the text begins or ends among them."""
+    return reduce(lambda a, b: F.concat(a, F.lit(" "), b), words)
+
+
+def _idiom(w: list[Column], after: list[Column]) -> Column:
+    """Valence of the idiom around a word, NULL without one; ``w`` goes back from the word, ``after`` on from it.
+
+    Idioms are compared as written. One that begins with the word counts before those that end with it or before it.
+    """
+    ranked = [
+        _phrase(w[0], after[0], after[1]), _phrase(w[0], after[0]), _phrase(w[1], w[0]), _phrase(w[2], w[1], w[0]),
+        _phrase(w[2], w[1]), _phrase(w[3], w[2], w[1]), _phrase(w[3], w[2]),
+    ]
+    listed = F.create_map(*[F.lit(x) for pair in IDIOMS.items() for x in pair])
+    return F.coalesce(*[F.when(p.isin(list(IDIOMS)), F.try_element_at(listed, p)) for p in ranked])
+
+
 def score_texts(df: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
     """Replace the text column by ``compound``, a score between -1 and 1.
 
@@ -144,18 +167,31 @@ def score_texts(df: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
     # place of the first "but" is found here, once per text and not once per token below.
     placed = shaped.select(
         _KEEP, "emphasis", "mixed", F.col("lower").alias("token"), F.col("tokens").alias("w0"),
-        *shifted, F.slice("lower", 2, F.array_size("lower")).alias("next"),
+        *shifted, *[F.slice("tokens", n + 1, F.array_size("tokens")).alias(f"n{n}") for n in (1, 2)],
         F.nullif(F.array_position("lower", F.lit("but")), F.lit(0)).alias("but"),
     )
     around = placed.select(
         _KEEP, "emphasis", "mixed", "but",
-        F.posexplode_outer(F.arrays_zip("token", "next", "w0", "w1", "w2", "w3")).alias("pos", "t"),
+        F.posexplode_outer(F.arrays_zip("token", "w0", "w1", "w2", "w3", "n1", "n2")).alias("pos", "t"),
     ).select(_KEEP, "emphasis", "mixed", "but", "pos", "t.*")
 
     # Only words of the lexicon count; the first token stays too, so that no text is lost.
     place = F.coalesce(F.col("pos"), F.lit(0))
     hits = around.join(valences, "token", "left").filter(F.col("valence").isNotNull() | (place == 0))
 
+    # A phrase around a word counts from the fourth word on, unless the third word before it has a valence. That one is
+    # looked up where there is a phrase; elsewhere the word itself is, so that the rows stay spread.
+    words = [F.col(f"w{n}") for n in range(4)]
+    damped = F.coalesce(reduce(lambda a, b: a | b, [
+        F.coalesce(_phrase(words[k + 1], words[k]).isin([d for d in DAMPENERS if " " in d]), F.lit(False)) for k in (1, 2)
+    ]), F.lit(False))
+    hits = hits.withColumn("idiom", _idiom(words, [F.col("n1"), F.col("n2")])).withColumn("damped", damped)
+    phrased = F.col("w3").isNotNull() & (F.col("idiom").isNotNull() | F.col("damped"))
+    third = valences.select(F.col("token").alias("third"), F.lit(True).alias("third_known"))
+    hits = hits.withColumn("phrased", phrased).withColumn(
+        "third", F.when(F.col("phrased"), F.lower("w3")).otherwise(F.col("token"))
+    ).join(third, "third", "left").withColumn("phrased", F.col("phrased") & F.col("third_known").isNull())
+
     hits = hits.select(
         "*", *[F.lower(f"w{n}").alias(f"l{n}") for n in range(1, 4)],
         *[(F.col("mixed") & _in_capitals(F.col(f"w{n}"))).alias(f"u{n}") for n in range(4)],
@@ -168,12 +204,14 @@ def score_texts(df: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
         boost = _boost(before[distance], F.col(f"u{distance + 1}"), skip) * DISTANCE_DAMPING[distance]
         turn = _turn(distance, before, skip)
         stepped = stepped.withColumn("step", (step + F.signum(step) * boost) * turn)
+    phrase = F.coalesce("idiom", "step") - F.when(F.col("damped"), F.lit(BOOST)).otherwise(F.lit(0.0))
+    stepped = stepped.withColumn("step", F.when(F.col("phrased"), phrase).otherwise(step))
     if "least" not in skip:
         least = (F.col("l1") == "least") & ~F.coalesce(F.col("l2").isin("at", "very"), F.lit(False))
         stepped = stepped.withColumn("step", F.when(least, step * NEGATION).otherwise(step))
     # Words that only modify others carry no valence; a first "but" moves the weight behind it.
     modifier = F.col("token").isin([*INTENSIFIERS, *DAMPENERS]) | (
-        (F.col("token") == "kind") & F.coalesce(F.col("next") == "of", F.lit(False))
+        (F.col("token") == "kind") & F.coalesce(F.lower("n1") == "of", F.lit(False))
     )
     weight = (
         F.when(F.col("pos") + 1 < F.col("but"), 0.5)

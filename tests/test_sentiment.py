@@ -61,6 +61,30 @@ def test_rules(spark, lexicon, text, total):
     assert compound(spark, lexicon, text) == pytest.approx(of(total), abs=1e-4)
 
 
+@pytest.mark.parametrize("text, total", [
+    ("my friend is the bomb", 3.0),
+    ("it is always a bad ass", 1.5 + 1.5),
+    ("not that it was really bad ass", 1.5 + 1.5),
+    ("the game is good yeah right", 0.5 + 1.9),
+    ("they say so yeah right good", -2.0),
+    ("that will not cut the mustard", 2.0 + 0.5 * -0.74),
+    ("a truly great kiss of death", 3.1 - 2.9),
+    ("what a truly sad kiss of death", -1.5),
+    ("they lived from hand to mouth good", -2.0 - 2.0),
+    ("it is not The bomb", 0.5 * -0.74),
+    ("is the bomb", 0.5),
+    ("great was it the bomb", 3.1 + 0.5),
+    ("great is the bomb", 3.1 + 0.5),
+    ("it is sort of good", 1.9 - 0.293),
+    ("it is just enough bad", -2.5 - 0.293),
+    ("it was sort of very good", 1.9 + 0.293 - 0.293),
+])
+def test_idioms(spark, text, total):
+    words = [*WORDS, ("the", 0.5), ("ass", -2.5), ("cut", -1.1), ("death", -2.9), ("mouth", 0.1)]
+    lexicon = spark.createDataFrame(words, schemas.LEXICON)
+    assert compound(spark, lexicon, text) == pytest.approx(of(total), abs=1e-4)
+
+
 def test_a_modifier_of_the_lexicon_does_not_modify(spark):
     lexicon = spark.createDataFrame([*WORDS, ("not", -0.5)], schemas.LEXICON)
     assert compound(spark, lexicon, "not good") == pytest.approx(of(1.9 - 0.5), abs=1e-4)
