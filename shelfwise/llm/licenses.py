@@ -6,7 +6,7 @@ Lines between lines without words are a block, and a notice may be wrapped over
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +27,8 @@ PENALTY = 2e-4
 FOLDS = 4
 CONFIRMED = 0.6
 UNKNOWN = "unknown"
+#: Words on either side of a notice, in its own lines, that belong to it and are no notice of their own.
+BESIDE = 12
 #: Words around notices that are none themselves.
 AROUND = ["copyright", "the", "authors"], ["see", "the", "file", "for", "details"]
 
@@ -35,6 +37,8 @@ TEMPLATES: dict[str, list[str]] = {
     "MIT": [
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
+        "Licensed under the MIT license.",
+        "This project is MIT licensed.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
         "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
         "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
@@ -95,22 +99,22 @@ TEMPLATES: dict[str, list[str]] = {
         "To the extent possible under law, the author has dedicated all copyright and related rights to the public "
         "domain under CC0 1.0 Universal.",
     ],
-}
-
-#: Notices of families that are not told apart: they show the model what a notice of no listed family looks like.
-UNLISTED: dict[str, list[str]] = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
             "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "Zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and "
              "to alter it and redistribute it freely, subject to the following restrictions:"],
     "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public "
                 "License 2.0 which is available at"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+}
+
+#: Notices of families that are not told apart: they show the model what a notice of no listed family looks like.
+UNLISTED: dict[str, list[str]] = {
     "EUPL-1.2": ["Licensed under the EUPL, Version 1.2 or later."],
     "Artistic-2.0": ["You may redistribute and modify it under the terms of the Artistic License 2.0."],
-    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
     "WTFPL": ["This work is free. You can redistribute it and/or modify it under the terms of the Do What The Fuck You "
               "Want To Public License, Version 2."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "CDDL-1.0": ["The contents of this file are subject to the terms of the Common Development and Distribution License."],
     "MS-PL": ["This source is subject to the Microsoft Public License."],
     "OFL-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
@@ -123,6 +127,36 @@ UNLISTED: dict[str, list[str]] = {
                     "permission of the copyright holder."],
 }
 
+#: Ordinary sentences with the words of licences: they show the model that words alone are no notice.
+ORDINARY = [
+    "Her fishing licence expired last spring and the permission to use the boat was never granted.",
+    "The city council granted the company a license to sell food in the park.",
+    "He lost his driver license and had to apply for a new copy at the office.",
+    "Under the terms of the agreement the public shares were sold without any further notice.",
+    "The general public was asked to use the other entrance during the work.",
+    "The software is available to students free of charge until the end of the year.",
+    "The court found that the copyright of the song belonged to the author and not to the publisher.",
+    "The version of the report distributed to the members was modified without permission.",
+    "A license fee has to be paid for every television set in the house.",
+    "The foundation published two books about free trade and general rights of the public.",
+    "You may use the kitchen subject to the following conditions, which the landlord has written down.",
+    "The minister said that the license of the station would be revoked in the public interest.",
+    "They obtained a copy of the contract and the terms were not what they had been promised.",
+    "The apache helicopter flew over the old mission, and the pilot had a license for both.",
+    "Students at MIT released a new version of their software for public use.",
+    "The creative commons of the village was open to everyone who worked there.",
+    "The company licensed the patent to a rival and distributed the rights among its owners.",
+    "All conditions of the sale were met and the source of the money was public.",
+    "She was granted permission to redistribute the food that the hotel had left.",
+    "The library lent the old books to the school under the same terms as before.",
+    "Drivers without a valid license were stopped by the police, and two licenses were taken away.",
+    "The program of the concert was free, and the license to record it had been given to the radio.",
+    "It was the second license that the bank had asked for under the new law.",
+    "The pilot had no license, and the plane had been modified without the permission of the owner.",
+    "The work is granted to whoever asks for it first, the mayor said.",
+    "No charge was made for the use of the file room, provided that notice was given.",
+]
+
 #: Words that tell families with like notices apart, by what they stand for.
 MARKS = {
     "sa": "sa", "sharealike": "sa", "nc": "nc", "noncommercial": "nc", "nd": "nd", "noderivatives": "nd",
@@ -130,6 +164,12 @@ MARKS = {
 }
 _NUMBER = re.compile(r"v?(\d+(?:\.\d+)*?)(?:\.0)*")
 
+#: A line that names licences by their identifiers, and what follows an identifier of a version or exception.
+_TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n*/]+)")
+_EXCEPTION = re.compile(r"\bWITH\s+\S+")
+_IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9.-]*[A-Za-z0-9]")
+_LATER = re.compile(r"-(only|or-later)$")
+
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 
@@ -156,6 +196,14 @@ def blocks(text: str | None) -> Iterator[tuple[list[str], list[int]]]:
         yield words, lines
 
 
+def tagged(line: str, families: list[str]) -> list[str]:
+    """The families whose identifiers a line with a licence tag names, an unknown one for those not listed."""
+    tag = _TAG.search(line)
+    names = _IDENTIFIER.findall(_EXCEPTION.sub(" ", tag[1])) if tag else []
+    plain = [_LATER.sub("", n) for n in names if n not in ("AND", "OR", "WITH")]
+    return list(dict.fromkeys(n if n in families else UNKNOWN for n in plain))
+
+
 def _triples(words: list[str]) -> set[tuple[str, ...]]:
     return set(zip(words, words[1:], words[2:], strict=False)) or {tuple(words)}
 
@@ -303,7 +351,8 @@ def _fit(templates: dict[str, list[str]], unlisted: dict[str, list[str]], folds:
                 of.append(k)
                 fold.append(k % folds)
         ordinary = [words_of(text)[:SAMPLE_WORDS] for text in sorted(sample["paragraph"].dropna())]
-        for i, words in enumerate([*AROUND, *ordinary]):
+        prose = [(i, v) for i, t in enumerate(ORDINARY) for v in _variants(t)]
+        for i, words in [*enumerate(AROUND), *prose, *enumerate(ordinary)]:
             if words and max(resemblance(words, t) for t in known) < 0.3:
                 rows.append(features_of(words))
                 of.append(-1)
@@ -350,10 +399,14 @@ def fit_classifier(documents: DataFrame, templates: dict[str, list[str]] = TEMPL
     """
     lines = F.split("text", "\n")
     draw = F.xxhash64(F.lit(3), "doc_id", "text")
+    drawn = documents.filter(F.length("text") > 0).select(draw.alias("draw"), lines.alias("lines"))
+    # A bound that twice as many hashes as wanted lie below: tasks send few paragraphs more than are used.
+    texts = documents.filter(F.length("text") > 0).count()
+    if texts > 4 * sample_paragraphs:
+        drawn = drawn.filter(F.col("draw") < -(1 << 63) + (1 << 64) * 2 * sample_paragraphs // texts)
     # Any of the lines: first ones alone are no sample of all.
-    sample = documents.filter(F.length("text") > 0).select(
-        draw.alias("draw"),
-        F.element_at(lines, (F.pmod(F.xxhash64(draw), F.size(lines)) + 1).cast("int")).alias("paragraph"),
+    sample = drawn.select(
+        "draw", F.element_at("lines", (F.pmod(F.xxhash64("draw"), F.size("lines")) + 1).cast("int")).alias("paragraph"),
     ).orderBy("draw").limit(sample_paragraphs).select("paragraph")
     # A group of its own, so that there is a model without any paragraph too.
     spark = documents.sparkSession
@@ -380,12 +433,16 @@ def find_notices(text: str | None, classifier: Classifier, comparison: Compariso
     The place is the line a notice begins in, for an unknown one the line of the word that says most.
     """
     found = []
+    tags: dict[int, list[str]] = {}
+    if text and "SPDX-License-Identifier:" in text:
+        tags = {i: f for i, line in enumerate(text.split("\n")) if (f := tagged(line, classifier.families))}
+        found += [{"place": i, "family": f, "probability": 1.0, "resemblance": 1.0} for i, fs in tags.items() for f in fs]
     for words, lines in blocks(text):
         hits = classifier.hits(words)
         if not hits:
             continue
         starts = [h[0] for h in hits]
-        taken = bytearray(len(words))
+        taken = bytearray(i in tags for i in lines) if tags else bytearray(len(words))
 
         def judge(a: int, b: int, hits=hits, starts=starts, taken=taken) -> tuple[int, float]:
             own = hits[bisect_left(starts, a):bisect_left(starts, b)]
@@ -400,6 +457,14 @@ def find_notices(text: str | None, classifier: Classifier, comparison: Compariso
                 k, p = judge(a, b)
                 if k == family and p >= least:
                     note(a, b, a, classifier.families[k], p, like)
+        # The words beside a confirmed notice, in its lines, are part of it.
+        for a in [i for i in range(len(words)) if taken[i] and not (i and taken[i - 1])]:
+            b = a
+            while b < len(words) and taken[b]:
+                b += 1
+            left = max(a - BESIDE, bisect_left(lines, lines[a]))
+            right = min(b + BESIDE, bisect_right(lines, lines[b - 1]))
+            taken[left:right] = b"\1" * (right - left)
         # What else is probably a notice is of no listed family: windows that hold the longest notice
         # whole, wherever it begins, then single lines.
         step = comparison.longest
@@ -426,9 +491,10 @@ def scan_licenses(documents: DataFrame, classifier: Classifier, templates: dict[
     Every block of every text is read, joined over its lines. A passage that is a notice by the classifier, likeliest
     of a family, and has ``confirmed`` of the word triples of one of its templates and the same marks and version is
     that family's; of passages that overlap, the one most like its template. What is a notice otherwise, in
-    windows or lines of the block, is one of an ``unknown`` licence. All else is no notice: ``least`` is the least
-    probability of one, by default the classifier's threshold. A NULL or empty text has none; repeated rows are
-    each scanned.
+    windows or lines of the block, is one of an ``unknown`` licence; up to ``BESIDE`` words beside a named notice, in its lines, are
+    part of it. A line with an ``SPDX-License-Identifier`` tag is read by its identifiers, with probability and resemblance 1.
+    All else is no notice: ``least`` is the least probability of one, by default the classifier's threshold. A NULL or empty text
+    has none; repeated rows are each scanned, an empty table gives none, and columns but id and text are not read.
     """
     least = classifier.threshold if least is None else least
     comparison = Comparison(classifier.families, templates, confirmed)

@@ -467,6 +467,42 @@ def test_unlisted_licences_are_unknown(spark, docs):
     assert 0 < classifier.threshold < 1
 
 
+def test_short_notices_tags_and_ordinary_prose(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {
+        "The contract was granted by the city and the license of the driver was revoked without notice.": [],
+        "The driver had no license and the software of the car was modified.": [],
+        "Licensed under the MIT license.": ["MIT"],
+        "This project is MIT licensed.": ["MIT"],
+        "SPDX-License-Identifier: MIT": ["MIT"],
+        "// SPDX-License-Identifier: GPL-2.0-only\nint main();": ["GPL-2.0"],
+        "# SPDX-License-Identifier: (MIT OR Apache-2.0) AND LicenseRef-x": ["MIT", "Apache-2.0", "unknown"],
+        "SPDX-License-Identifier: GPL-3.0-or-later WITH Bison-exception-2.2": ["GPL-3.0"],
+        "Released under the MIT License. See the file for details.": ["MIT"],
+        "Distributed under the Boost Software License, Version 1.0. See the file for details.": ["BSL-1.0"],
+        "SPDX-License-Identifier:": [],
+    }
+    classifier = licenses.fit_classifier(documents)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: [n.family for n in r.notices] for r in licenses.scan_licenses(rows, classifier).collect()}
+    assert [found[i] for i in range(len(texts))] == list(texts.values())
+    # The notices of the table: found and named where a text speaks of a licence, nothing elsewhere.
+    spoken = F.lower("text").rlike("licens|permission is hereby")
+    scanned = licenses.scan_licenses(documents, classifier).join(documents.select("doc_id", spoken.alias("spoken")), "doc_id")
+    counts = scanned.agg(
+        F.count_if("spoken"), F.count_if(F.col("spoken") & (F.size("notices") > 0)), F.count_if(~F.col("spoken") & (F.size("notices") > 0)),
+        F.count_if(F.array_contains("notices.family", "unknown")),
+    ).first()
+    assert counts[1] >= 0.9 * counts[0] > 0 and counts[2] == counts[3] == 0
+
+
+def test_the_licence_sample_below_its_bound(spark):
+    rows = spark.range(3000).selectExpr("id as doc_id", "concat('word', id, ' common') as text")
+    small = licenses.fit_classifier(rows, sample_paragraphs=100)
+    assert licenses.fit_classifier(rows.repartition(5), sample_paragraphs=100) == small
+    assert licenses.fit_classifier(rows.limit(0)).families == small.families
+
+
 def test_the_chain_counts_a_repeated_document_once(spark):
     rows = [(i, f"{prose(20)} {'vile' if i % 3 == 0 else 'kind'}") for i in range(60)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, toxic int")
