@@ -13,6 +13,8 @@ from shelfwise.operators.joins import join_catalog, join_left_dedup, library_ite
 from shelfwise.operators.ranking import dedup_keep_first, top_per_group
 from shelfwise.operators.sentiment import sentiment_class
 
+#: Tasks that add up rows by genre, for each shuffle partition: a row becomes as many as its item has genres.
+GENRE_TASKS = 4
 REVIEW_FIELDS = ["funny", "posted", "last_edited", "item_id", "helpful", "recommend", "review"]
 
 
@@ -76,13 +78,19 @@ def library_sizes(libraries: DataFrame) -> DataFrame:
 
 
 def genre_hours(libraries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(genre, user_id, year, hours) for all genres in one pass."""
+    """(genre, user_id, year, hours) for all genres in one pass.
+
+    Rows are dealt out by user before they are multiplied by their genres, so that neither these sums nor those of a user
+    over the years shuffle a row per genre.
+    """
     played = library_items(libraries).select("user_id", "item_id", "playtime_forever")
     # Spellings that differ in capitals only are one genre, and a repeated genre counts once.
     genres = F.array_distinct(F.transform("genres", capitalize))
     items = catalog.select("id", genres.alias("genres"), F.col("release_date").alias("year"))
+    tasks = GENRE_TASKS * int(libraries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         join_catalog(played, items, ["genres", "year"])
+        .repartition(tasks, "user_id")
         .select(F.explode("genres").alias("genre"), "user_id", "year", "playtime_forever")
         .groupBy("genre", "user_id", "year")
         .agg(F.sum("playtime_forever").alias("hours"))

@@ -95,3 +95,10 @@ def test_leaders_are_cut_to_one_per_genre_before_the_shuffle(spark, plan_of):
     t = Tables(spark, FOLDER)
     tree = plan_of(etl.genre_leaders(etl.genre_hours(t.libraries(), t.catalog()))).split("\n\n")[0]
     assert tree.count("WindowGroupLimit") == 2
+
+
+def test_no_row_per_genre_is_shuffled_before_leaders_are_cut(spark, plan_of):
+    t = Tables(spark, FOLDER)
+    tree = plan_of(etl.genre_leaders(etl.genre_hours(t.libraries(), t.catalog()))).split("\n\n")[0]
+    above = tree[:tree.index("Generate")]  # what follows the explosion of the genres
+    assert above.count("Exchange") == 1 and above.index("WindowGroupLimit") < above.index("Exchange") < above.rindex("WindowGroupLimit")
