@@ -115,7 +115,8 @@ def leader_rows(leaders: DataFrame) -> DataFrame:
 def build_interactions(reviews: DataFrame, libraries: DataFrame, catalog: DataFrame) -> DataFrame:
     """Wide table of reviewed and owned items with their catalog data."""
     sized = join_left_dedup(reviews, library_sizes(libraries), "user_id")
-    owned = library_items(libraries).distinct()
+    # Placed as the join wants them, so that dropping copies costs no shuffle of its own.
+    owned = library_items(libraries).repartition("user_id", "item_id").distinct()
     details = ["genres", "release_date", "price", "developer"]
     wide = join_catalog(sized.join(owned, ["user_id", "item_id"]), catalog, details)
     return wide.select(

@@ -102,3 +102,23 @@ def test_no_row_per_genre_is_shuffled_before_leaders_are_cut(spark, plan_of):
     tree = plan_of(etl.genre_leaders(etl.genre_hours(t.libraries(), t.catalog()))).split("\n\n")[0]
     above = tree[:tree.index("Generate")]  # what follows the explosion of the genres
     assert above.count("Exchange") == 1 and above.index("WindowGroupLimit") < above.index("Exchange") < above.rindex("WindowGroupLimit")
+
+
+def test_owned_items_are_shuffled_once_for_copies_and_join(spark, plan_of):
+    library = spark.createDataFrame(
+        [("u", [(1, "one", 5, 0), (1, "one", 5, 0)])],
+        "user_id string, items array<struct<item_id:bigint,item_name:string,playtime_forever:bigint,playtime_2weeks:bigint>>",
+    ).withColumn("items_count", F.lit(2).cast("bigint"))
+    reviews = spark.createDataFrame([("u", 1, True, 2)], "user_id string, item_id bigint, recommend boolean, sentiment_analysis int")
+    catalog = spark.createDataFrame(
+        [(1, ["a"], 1999, 1.0, "d")], "id bigint, genres array<string>, release_date int, price double, developer string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = etl.build_interactions(reviews, library, catalog)
+        plan = plan_of(wide)
+        assert plan.count("hashpartitioning(user_id#") > 0 and "item_name#" not in "".join(
+            line.split("hashpartitioning")[1] for line in plan.splitlines() if "hashpartitioning" in line)
+        assert [(r.user_id, r.item_id, r.items_count) for r in wide.collect()] == [("u", 1, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
