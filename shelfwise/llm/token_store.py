@@ -25,8 +25,10 @@ from shelfwise.llm.words import row_key
 CHUNK_BITS = 8
 RANK_EVERY = 512
 SHARD_TOKENS = 1 << 22
-#: Words, and parts of words, whose ids an encoder remembers; beyond that it forgets all but the words at hand.
+#: Parts of words, and words encoded whole, whose ids an encoder remembers; beyond that it forgets all, or all but those at hand.
 REMEMBERED = 400_000
+#: Bytes of the texts that are encoded at once, one text at least: the more, the fewer words are met again.
+TEXT_BYTES = 1 << 24
 #: Stands between the ids of words; no place in the codes of ids reads like it, for their upper bytes are zero.
 BREAK = b"\xff\xff\xff\xff"
 
@@ -101,12 +103,13 @@ class TokenReader:
 
 
 class WordEncoder:
-    """Ids of whole texts under a tokenizer that drops white space, each different word encoded once.
+    """Ids of whole texts under a tokenizer that drops white space, each different word of a call encoded once.
 
     Such a tokenizer's ids are those of the words between white space, one after the other. Words
     below U+0250 without special tokens are normalised and cut as the file says, by its own pattern, and
-    go to its model many at a time, their ids told apart by the end-of-word mark; all others go through the
-    whole tokenizer. ``tests`` compares both with encoding whole texts.
+    their new parts go to its model many at a time, the ids told apart by the end-of-word mark; all others go
+    through the whole tokenizer. Parts are fewer than words and are all that is remembered of the former.
+    ``tests`` compares both with encoding whole texts.
     """
 
     def __init__(self, path: str, end_id: int | None) -> None:
@@ -131,47 +134,69 @@ class WordEncoder:
         # White space to the tokenizer or to Unicode, but not in ASCII; texts that have any are encoded whole.
         self.other_spaces = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
         # Words with other characters, or a special token, go through the whole tokenizer.
-        self.odd = re.compile("[^\x20-\x7e\xa1-\u024f]|<\\|")
+        self.odd = re.compile("[^\n\x20-\x7e\xa1-\u024f]|<\\|")
         self.cut = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\\n")
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of words that go through the whole tokenizer
         self.parts: dict[str, bytes] = {"\n": BREAK}
         # The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
-        self.alphabet = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
-        del self.alphabet[32]  # parts have no blank; it stands between them
+        self.alphabet = np.zeros(256, "<u2")
+        self.alphabet[printable], self.alphabet[others] = printable, 256 + np.arange(len(others))
+        self.alphabet[32] = 32  # parts have no blank; it stands between them
 
     def _learn_parts(self, parts: list[str]) -> None:
         for start in range(0, len(parts), 1024):
             some = parts[start:start + 1024]
-            mapped = " ".join(some).encode().decode("latin1").translate(self.alphabet)
+            mapped = self.alphabet[np.frombuffer(" ".join(some).encode(), np.uint8)].tobytes().decode("utf-16-le")
             ids = np.array(self.model.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            codes = ids.tobytes()
-            self.parts.update(
-                (p, codes[i:j]) for p, i, j in zip(some, cuts[:-1], cuts[1:], strict=True)
-            )
+            spans = map(slice, cuts[:-1], cuts[1:])
+            self.parts.update(zip(some, map(ids.tobytes().__getitem__, spans), strict=True))
 
-    def _learn(self, words: list[str]) -> None:
-        rest = {w for w in words if self.odd.search(w)} if self.odd.search(" ".join(words)) else set()
-        plain = [w for w in words if w not in rest] if rest else words
-        lower = unicodedata.normalize("NFC", "\n".join(plain)).lower().split("\n") if plain else []
+    def _plain(self, words: str) -> tuple[list[bytes], np.ndarray]:
+        """Ids of words, given one a line, in an order of its own, and the place of each word's."""
+        lower = unicodedata.normalize("NFC", words).lower().split("\n")
         # A word of letters is one part; all others are cut together, line breaks kept between them.
         one = list(map(str.isalpha, lower))
-        more = list(map(not_, one))
-        letters, cut = list(compress(lower, one)), self.cut.findall("\n".join(compress(lower, more)))
+        letters, cut = list(compress(lower, one)), self.cut.findall("\n".join(compress(lower, map(not_, one))))
+        if len(self.parts) > REMEMBERED:
+            self.parts = {"\n": BREAK}
         parts = self.parts
         self._learn_parts(list({*letters, *cut}.difference(parts)))
-        self.known.update(zip(compress(plain, one), map(parts.__getitem__, letters), strict=True))
-        if len(letters) < len(plain):
-            codes = b"".join(map(parts.__getitem__, cut)).split(BREAK)
-            self.known.update(zip(compress(plain, more), codes, strict=True))
-        rest = list(rest)
-        for start in range(0, len(rest), 256):
-            some = rest[start:start + 256]
+        codes = list(map(parts.__getitem__, letters))
+        if len(letters) < len(lower):
+            codes += b"".join(map(parts.__getitem__, cut)).split(BREAK)
+        alone = np.array(one)
+        return codes, np.where(alone, np.cumsum(alone) - 1, len(letters) + np.cumsum(~alone) - 1)
+
+    def _odd(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        new = [w for w in words if w not in self.known]
+        for start in range(0, len(new), 256):
+            some = new[start:start + 256]
             for w, e in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
+        return list(map(self.known.__getitem__, words))
+
+    def _codes(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Ids of different words, in an order of its own, and the place of each word's."""
+        if not len(words):
+            return [], np.zeros(0, np.int64)
+        # One string for all: no word has a line break.
+        joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar("\n", words.type))[0].as_py()
+        if not self.odd.search(joined):
+            return self._plain(joined)
+        names = joined.split("\n")
+        odd = list(map(bool, map(self.odd.search, names)))
+        rest, plain = self._odd(list(compress(names, odd))), "\n".join(compress(names, map(not_, odd)))
+        codes, within = self._plain(plain) if len(rest) < len(names) else ([], np.zeros(0, np.int64))
+        places = np.empty(len(names), np.int64)
+        places[np.array(odd)] = len(codes) + np.arange(len(rest))
+        places[~np.array(odd)] = within
+        return codes + rest, places
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian 32-bit integers."""
@@ -179,16 +204,9 @@ class WordEncoder:
         odd = pc.match_substring_regex(texts, self.other_spaces)
         split = pc.ascii_split_whitespace(pc.if_else(odd, "", texts))
         words = split.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known = {w: self.known[w] for w in names if w in self.known}
-        if len(self.parts) > REMEMBERED:
-            self.parts = {"\n": BREAK}
-        new = [w for w in names if w not in self.known]
-        if new:
-            self._learn(new)
+        codes, order = self._codes(words.dictionary)
         # 64-bit places: the ids of a batch may take more bytes than its texts.
-        codes = pa.array(list(map(self.known.__getitem__, names)), pa.large_binary()).take(words.indices)
+        codes = pa.array(codes, pa.large_binary()).take(pa.array(order[words.indices.to_numpy()]))
         places = np.frombuffer(codes.buffers()[1], "<i8", len(codes) + 1) if len(codes) else np.zeros(1, "<i8")
         cuts, data = places[split.offsets.to_numpy()].tolist(), memoryview(codes.buffers()[2] or b"")
         ids = [bytes(data[i:j]) + self.end for i, j in pairwise(cuts)]
@@ -198,6 +216,17 @@ class WordEncoder:
         return ids
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, cut to runs whose texts (the second column) have ``TEXT_BYTES`` at most, or to single rows."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + TEXT_BYTES, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _encoder_of_this_process(path: str, end_id: int | None) -> WordEncoder:
     """Workers serve many tasks: what one has learnt about words is kept for the next."""
     kept = sys.modules.setdefault("shelfwise_worker", ModuleType("shelfwise_worker")).__dict__
@@ -234,8 +263,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int |
             )
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                some = batch.slice(start, 2048)
+            for some in _slices(batch):
                 for name, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1)), strict=True):
                     names.append(name)
                     sizes.append(len(ids) // 4)

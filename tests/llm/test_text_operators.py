@@ -9,6 +9,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -299,6 +300,35 @@ def test_codes_give_every_token(tmp_path, spark, docs, none):
     assert token_store.read_tokens(spark, str(tmp_path / "nothing")).count() == 0
 
 
+def test_parts_are_encoded_once_and_words_not_remembered():
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    whole, encoder = tokenizers.Tokenizer.from_file(path), token_store.WordEncoder(path, 2)
+    learnt = []
+    learn = encoder._learn_parts
+    encoder._learn_parts = lambda parts: (learnt.extend(parts), learn(parts))
+    for texts in (
+        ["Blanking blanking, (BLANKING) don't", None, ""], ["blanking’s", "“blanking”"], ["Blanking. a<|b 日本 İx, blanking!", "\n"], ["x"], [],
+    ):
+        got = [np.frombuffer(codes, "<u4").tolist() for codes in encoder.encode(texts)]
+        assert got == [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert learnt.count("blanking") == 1 and len(learnt) == len(set(learnt))
+    assert set(encoder.known) == {"blanking’s", "“blanking”", "a<|b", "日本"}
+
+
+def test_slices_follow_the_bytes_of_the_texts():
+    def sizes(texts: list[str | None]) -> list[int]:
+        columns = [pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())]
+        batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "text"])
+        slices = list(token_store._slices(batch))
+        assert [i for s in slices for i in s.column(0).to_pylist()] == list(range(len(texts)))
+        return [s.num_rows for s in slices]
+
+    half = "x" * (token_store.TEXT_BYTES // 2)
+    assert sizes([]) == [] and sizes(["a", None, ""] * 1500) == [4500]
+    assert sizes([half, half, None, "a", 3 * half, "a", half, half]) == [3, 1, 1, 2, 1]
+
+
 def test_context_tree_weighting_by_its_definition(spark):
     texts = [(i, draw.choice([None, "", "ab ba", "abab b", "Aab é", "b a b a b"])) for i in range(24)]
     depth = 2
