@@ -60,15 +60,14 @@ _KEEP = "_keep"
 def tokens(text: Column) -> Column:
     """Words without punctuation at their ends; marks that are no word (``:)``) stay whole."""
 
-    def clean(word: Column) -> Column:
-        bare = F.btrim(word, F.lit(PUNCTUATION))
-        return F.when(F.length(bare) > 1, bare).otherwise(word)
+    words = F.split(text, SPACE)
+    bare = F.transform(words, lambda w: F.btrim(w, F.lit(PUNCTUATION)))
+    clean = F.zip_with(words, bare, lambda w, b: F.when(F.length(b) > 1, b).otherwise(w))
+    return F.filter(clean, lambda w: F.length(w) > 1)
 
-    return F.filter(F.transform(F.split(text, SPACE), clean), lambda w: F.length(w) > 1)
 
-
-def _in_capitals(word: Column) -> Column:
-    return (F.lower(word) != word) & (F.upper(word) == word)
+def _in_capitals(word: Column, lower: Column | None = None) -> Column:
+    return ((F.lower(word) if lower is None else lower) != word) & (F.upper(word) == word)
 
 
 def _occurrences(text: Column, mark: str) -> Column:
@@ -129,7 +128,7 @@ def _idiom(w: list[Column], after: list[Column]) -> Column:
         _phrase(w[2], w[1]), _phrase(w[3], w[2], w[1]), _phrase(w[3], w[2]),
     ]
     listed = F.create_map(*[F.lit(x) for pair in IDIOMS.items() for x in pair])
-    return F.coalesce(*[F.when(p.isin(list(IDIOMS)), F.try_element_at(listed, p)) for p in ranked])
+    return F.coalesce(*[F.try_element_at(listed, p) for p in ranked])
 
 
 def score_texts(df: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
@@ -182,9 +181,10 @@ def score_texts(df: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
     # A phrase around a word counts from the fourth word on, unless the third word before it has a valence. That one is
     # looked up where there is a phrase; elsewhere the word itself is, so that the rows stay spread.
     words = [F.col(f"w{n}") for n in range(4)]
-    damped = F.coalesce(reduce(lambda a, b: a | b, [
-        F.coalesce(_phrase(words[k + 1], words[k]).isin([d for d in DAMPENERS if " " in d]), F.lit(False)) for k in (1, 2)
-    ]), F.lit(False))
+    pairs = F.array(*[F.lit(d) for d in DAMPENERS if " " in d])
+    damped = reduce(lambda a, b: a | b, [
+        F.coalesce(F.array_contains(pairs, _phrase(words[k + 1], words[k])), F.lit(False)) for k in (1, 2)
+    ])
     hits = hits.withColumn("idiom", _idiom(words, [F.col("n1"), F.col("n2")])).withColumn("damped", damped)
     phrased = F.col("w3").isNotNull() & (F.col("idiom").isNotNull() | F.col("damped"))
     third = valences.select(F.col("token").alias("third"), F.lit(True).alias("third_known"))
@@ -192,9 +192,12 @@ def score_texts(df: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
         "third", F.when(F.col("phrased"), F.lower("w3")).otherwise(F.col("token"))
     ).join(third, "third", "left").withColumn("phrased", F.col("phrased") & F.col("third_known").isNull())
 
+    # An empty word stands for none: it is no modifier, and the code for NULL is spared. All of this becomes one method,
+    # which the JVM compiles below 8,000 bytes only; beyond, every token of every text is interpreted (see the test).
+    hits = hits.withColumns({f"w{n}": F.coalesce(f"w{n}", F.lit("")) for n in range(4)})
+    hits = hits.select("*", *[F.lower(f"w{n}").alias(f"l{n}") for n in range(4)])
     hits = hits.select(
-        "*", *[F.lower(f"w{n}").alias(f"l{n}") for n in range(1, 4)],
-        *[(F.col("mixed") & _in_capitals(F.col(f"w{n}"))).alias(f"u{n}") for n in range(4)],
+        "*", *[(F.col("mixed") & _in_capitals(F.col(f"w{n}"), F.col(f"l{n}"))).alias(f"u{n}") for n in range(4)]
     )
     before = [F.col("l1"), F.col("l2"), F.col("l3")]
     step = F.col("step")

@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,23 @@ def test_one_shuffle_of_sums(spark, lexicon, capsys):
     plan = capsys.readouterr().out
     assert "BatchEvalPython" not in plan and "Window" not in plan
     assert plan.count("Exchange hashpartitioning(_keep") == 1
+
+
+def test_the_loop_over_tokens_is_small_enough_to_be_compiled(spark, capsys):
+    lexicon = spark.sql("SELECT * FROM VALUES ('good', 1.9D), ('not', -0.2D) AS l(token, valence)")  # small enough to be broadcast
+    df = spark.createDataFrame([("a", 1, True, "good game")], "user_id string, item_id bigint, recommend boolean, text string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sentiment_class(df, "text", lexicon).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 7800
+
+
+def test_words_in_capitals_and_bare_marks(spark, lexicon):
+    rows = [(0, "--- VERY good"), (1, "very GOOD"), (2, "VERY GOOD"), (3, ":) good !!"), (4, "(good) ..."), (5, "")]
+    scores = score_texts(spark.createDataFrame(rows, "id int, text string"), "text", lexicon).collect()
+    loud = [1.9 + 0.293 + 0.733, 1.9 + 0.733 + 0.293, 1.9 + 0.293, 2.0 + 1.9 + 2 * 0.292, 1.9, 0.0]
+    assert {r.id: r.compound for r in scores} == pytest.approx({i: of(x) for i, x in enumerate(loud)}, abs=1e-4)
