@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.chunks import body_of, each_chunk, pack_texts
-from shelfwise.llm.storage import stored
+from shelfwise.llm.storage import one_row_at_a_time, stored
 
 DEPTH = 4
 CHUNK_BYTES = 8 << 20
@@ -169,33 +169,62 @@ def _body(lines: list[bytes]) -> bytes:
     return b"\n".join(lines) + b"\n"
 
 
-class _Costs:
-    """What grams cost, found by the ranks of their two halves in a table."""
+#: Bytes of a tree of grams; costs of grams that need more are searched for.
+TREE_BYTES = 96 << 20
 
-    def __init__(self, known: np.ndarray, values: np.ndarray) -> None:
-        self.table = None
-        if known.max() >= 1 << 40:  # deeper contexts are too wide for a table
-            order = np.argsort(known)
-            self.known, self.values = known[order], values[order]
-            return
-        self.front, self.back = self._ranks(known >> 16), self._ranks(known & 0xFFFF)
-        self.wide = int(self.back[-1]) + 1
-        self.table = np.zeros((int(self.front[-1]) + 1) * self.wide, np.float32)
-        self.table[self._place(known)] = values
 
-    @staticmethod
-    def _ranks(halves: np.ndarray) -> np.ndarray:
-        seen = np.zeros(int(halves.max()) + 1, np.int32)
-        seen[halves] = 1
-        return np.cumsum(seen, dtype=np.int32) - 1
+class _Costs:
+    """What grams cost, found by a walk down a tree of their bytes.
 
-    def _place(self, grams: np.ndarray) -> np.ndarray:
-        return self.front[grams >> 16].astype(np.int64) * self.wide + self.back[grams & 0xFFFF]
+    Bytes are ranked among those that occur. A node of some bytes has a row with a place for each rank, where the node of
+    one byte more stands, and the rows of whole contexts have the costs: space is for nodes by ranks, not for all pairs of
+    a beginning and an end.
+    """
 
-    def of(self, grams: np.ndarray) -> np.ndarray:
-        if self.table is None:
-            return self.values[np.searchsorted(self.known, grams)]
-        return self.table[self._place(grams)]
+    def __init__(self, known: np.ndarray, values: np.ndarray, depth: int) -> None:
+        order = np.argsort(known)
+        known, self.depth = known[order], depth
+        seen = np.zeros(256, bool)
+        seen[END] = True
+        for back in range(depth + 1):
+            seen[known >> (8 * back) & 255] = True
+        self.rank = (np.cumsum(seen) - 1).astype(np.int32)
+        self.wide, self.steps = int(seen.sum()), []
+        nodes = [1] + [1 + np.count_nonzero(np.diff(known >> (8 * back))) for back in range(depth, 0, -1)]
+        self.sorted = None
+        if 4 * self.wide * sum(nodes) > TREE_BYTES:
+            self.sorted = known, values[order]
+            return
+        node = np.zeros(len(known), np.int64)
+        for back in range(depth, 0, -1):
+            prefix = known >> (8 * back)
+            child = np.cumsum(np.diff(prefix, prepend=prefix[:1]) != 0)
+            step = np.zeros(nodes[depth - back] * self.wide, np.int32)
+            step[node * self.wide + self.rank[prefix & 255]] = child
+            self.steps.append(step)
+            node = child
+        self.last = np.zeros(nodes[depth] * self.wide, np.float32)
+        self.last[node * self.wide + self.rank[known & 255]] = values[order]
+
+    def of(self, body: bytes) -> np.ndarray:
+        """The cost of every byte of the texts, as ``_grams`` has them."""
+        if self.sorted:
+            known, values = self.sorted
+            return values[np.searchsorted(known, _grams(body, self.depth))]
+        n, end = len(body), self.rank[END]
+        a = self.rank[np.frombuffer(bytes([END] * self.depth) + body, np.uint8)]
+        begins = np.concatenate(([0], np.flatnonzero(a[self.depth:-1] == end) + 1))
+        node = np.zeros(n, np.intp)
+        for back, step in enumerate(self.steps, 1):
+            context = a[self.depth - back:][:n].copy()
+            for fresh in range(back - 1):  # so far back lies another text
+                context[begins[begins + fresh < n] + fresh] = end
+            node *= self.wide
+            node += context
+            node = step.take(node).astype(np.intp)
+        node *= self.wide
+        node += a[self.depth:]
+        return self.last.take(node)
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -283,12 +312,12 @@ def _scores(depth: int, total: int, distinct: int):
             np.log10((words.field("n").to_numpy() + 0.5) / (total + 0.5 * (distinct + 1))).tolist(),
             strict=True,
         )) if words is not None else {}
-        table = _Costs(costs.field("gram").to_numpy(), costs.field("cost").to_numpy())
+        table = _Costs(costs.field("gram").to_numpy(), costs.field("cost").to_numpy(), depth)
         sizes = np.array([len(x) + 1 for x in lines])
         score = np.zeros(len(lines))
         for start, stop in _blocks(lines):
             own = sizes[start:stop]
-            each = table.of(_grams(_body(lines[start:stop]), depth))
+            each = table.of(_body(lines[start:stop]))
             score[start:stop] = np.add.reduceat(each, np.cumsum(own) - own, dtype=np.float64)
         base, found, tokens = [], [], []
         for line in lines:
@@ -327,11 +356,13 @@ def score_texts(documents: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHU
     """
     held = (F.crc32(F.col("doc_id").cast("string")) % 5 == 1).eqNullSafe(True)
     chunks = pack_texts(documents.select("doc_id", "text", held.alias("flag")), "chunks", lower=True, chunk_bytes=chunk_bytes)
-    counts = stored(
-        chunks.select("chunk", "flags", "body").mapInArrow(
-            _chunk_counts(depth), "chunk long, gram long, word binary, n long"
-        ), "counts",
-    )
+    spark = documents.sparkSession
+    with one_row_at_a_time(spark):
+        counts = stored(
+            chunks.select("chunk", "flags", "body").mapInArrow(
+                _chunk_counts(depth), "chunk long, gram long, word binary, n long"
+            ), "counts",
+        )
     grams = stored(
         counts.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
         .withColumn("near", F.shiftrightunsigned("gram", 8 * depth)), "grams",
@@ -353,7 +384,7 @@ def score_texts(documents: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHU
         counts.filter("word is not null").select("chunk", "word").join(words, "word").groupBy("chunk")
         .agg(F.collect_list(F.struct("word", "n")).alias("words")), "by_word",
     )
-    return (
+    scores = (
         chunks.join(by_gram, "chunk").join(by_word, "chunk", "left")
         .select("ids", "flags", "body", "grams", "words")
         .mapInArrow(
@@ -362,3 +393,5 @@ def score_texts(documents: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHU
             "base_score double, score double, n_bytes long",
         )
     )
+    with one_row_at_a_time(spark):
+        return stored(scores, "scores")

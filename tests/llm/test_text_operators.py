@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from shelfwise.llm import (
@@ -388,6 +390,49 @@ def test_context_tree_weighting_by_its_definition(spark):
     assert ctw.score_texts(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("letters", [80, 250])
+def test_a_chunk_of_many_contexts_is_scored_in_little_memory(letters):
+    """Space grows with the grams of a chunk, not with their beginnings times their ends; each gram has its own cost."""
+    rng = np.random.default_rng(6)
+    lines = [bytes(rng.integers(33, 33 + letters, 3000) % 256).replace(b"\n", b"") for _ in range(10)] + [b"", b"a", b"ab", b""]
+    lines = [b" ".join(x.split()) for x in lines]
+    grams = np.unique(ctw._grams(ctw._body(lines), 4))
+    costs = -rng.random(len(grams)).astype(np.float32)
+    of = dict(zip(grams.tolist(), costs.tolist(), strict=True))
+    row = {
+        "ids": pa.array([list(range(len(lines)))])[0], "flags": pa.array([[False] * len(lines)])[0],
+        "body": pa.array([zstandard.compress(ctw._body(lines))], pa.binary())[0],
+        "grams": pa.array([[{"gram": g, "cost": c} for g, c in of.items()]], pa.list_(pa.struct([("gram", pa.int64()), ("cost", pa.float32())])))[0],
+        "words": pa.array([[{"word": b"a", "n": 1}]])[0],
+    }
+    batch = pa.RecordBatch.from_arrays([pa.array([v.as_py()], v.type) for v in row.values()], names=list(row))
+    tracemalloc.start()
+    found = next(ctw._scores(4, 10, 5)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20
+    for line, score in zip(lines, found.column(6).to_pylist(), strict=True):
+        assert score == pytest.approx(sum(of[g] for g in ctw._grams(ctw._body([line]), 4).tolist()), rel=1e-6)
+
+
+def test_chunks_go_to_python_one_by_one(spark, docs, monkeypatch):
+    taken, kept = spark.sparkContext.accumulator(0), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def count(work, names):
+        def run(batches):
+            for batch in batches:
+                taken.add(batch.num_rows - 1)
+                yield from each(iter([batch]))
+        each = each_chunk(work, names)
+        return run
+
+    each_chunk = ctw.each_chunk
+    monkeypatch.setattr(ctw, "each_chunk", count)
+    assert ctw.score_texts(docs.coalesce(1), chunk_bytes=20).count() == len(ROWS)
+    assert taken.value == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == kept
+
+
 def test_scores_of_texts_with_gaps(docs):
     assert ctw.score_texts(docs).filter("score < 0 and n_tokens > 0").count() == len(ROWS)
 
